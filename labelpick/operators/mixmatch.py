@@ -67,18 +67,18 @@ def with_partner(rows: DataFrame, seed: int = 0) -> DataFrame:
     """
     group = Window.partitionBy("epoch", "batch")
     u = uniform(F.col("row_id"), F.pmod("batch", F.lit(1_000_003)), PARTNER_DRAW, seed)
-    placed = (rows.withColumn("at", F.row_number().over(group.orderBy("is_unlabeled", "pos")))
+    placed = (rows.withColumn("slot", F.row_number().over(group.orderBy("is_unlabeled", "pos")))
               .withColumn("to", F.row_number().over(group.orderBy(u, "row_id")))
               .withColumn("size", F.count("*").over(group)))
-    partner = placed.select("epoch", "batch", F.col("to").alias("at"),
+    partner = placed.select("epoch", "batch", F.col("to").alias("slot"),
                             *[F.col(c).alias(f"b_{c}") for c in ("row_id", "embedding", "target")])
-    return placed.drop("to").join(partner, ["epoch", "batch", "at"])
+    return placed.drop("to").join(partner, ["epoch", "batch", "slot"])
 
 
 def mixed_rows(rows: DataFrame, share: float = 0.75, seed: int = 0) -> DataFrame:
-    """(epoch, batch, at, row_id, partner_id, embedding, target): inputs and targets mixed with their partners."""
+    """(epoch, batch, slot, row_id, partner_id, embedding, target): inputs and targets mixed with their partners."""
     paired = with_partner(rows, seed)
-    return paired.select("epoch", "batch", "at", "row_id", F.col("b_row_id").alias("partner_id"),
+    return paired.select("epoch", "batch", "slot", "row_id", F.col("b_row_id").alias("partner_id"),
                          mix(F.col("embedding"), F.col("b_embedding"), share).alias("embedding"),
                          mix(F.col("target"), F.col("b_target"), share).alias("target"))
 
