@@ -7,25 +7,22 @@ from pyspark.sql import functions as F
 
 from labelpick.functions.random import uniform
 
-ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 100_000
+BUCKETS = 65_536
 SHUFFLE_DRAW = 900_001
 
 
 def batches(rows: DataFrame, size: int = 64, seed: int = 0, first: int | None = None,
-            rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+            buckets: int = BUCKETS) -> DataFrame:
     """Add ``batch`` and ``pos``: rows ordered by a uniform number of their id, cut into batches of ``size``.
 
     The uniform number also cuts the rows into even buckets, so each bucket is numbered on its own and only the small
-    table of bucket counts is added up in order. ``first`` keeps the first batches alone; the buckets behind them are
-    dropped before the shuffle.
+    table of bucket counts is added up in order. ``first`` keeps the first batches alone, for training that reads no
+    more of them; the buckets behind them are dropped before the shuffle.
     """
     keyed = rows.withColumn("_u", uniform(F.col("row_id"), 0, SHUFFLE_DRAW, seed))
-    n_rows = rows.count()
-    n_buckets = int(min(MAX_BUCKETS, max(1, -(-n_rows // rows_per_bucket))))
-    keyed = keyed.withColumn("_bucket", F.floor(F.col("_u") * n_buckets).cast("int"))
+    keyed = keyed.withColumn("_bucket", F.floor(F.col("_u") * buckets).cast("int"))
     counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # at most MAX_BUCKETS rows, so one ordered window and a broadcast are safe
+    # at most ``buckets`` rows, so one ordered window and a broadcast are safe
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     if first is not None:

@@ -227,18 +227,19 @@ def validation_loss(rows: DataFrame, layers: list[np.ndarray], task: str, n_clas
     return validation_loss_table(rows, layers, task, n_classes).first()["loss"]
 
 
-def predict_class(points: DataFrame, layers: list[np.ndarray]) -> DataFrame:
-    """(row_id, prediction): the class with the largest logit."""
-    return logits(points, layers).select("row_id", argmax(F.col("logits")).alias("prediction"))
+def predict_class(points: DataFrame, layers: list[np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, *keep, prediction): the class with the largest logit."""
+    return logits(points, layers).select("row_id", *keep, argmax(F.col("logits")).alias("prediction"))
 
 
-def predict_labels(points: DataFrame, layers: list[np.ndarray], threshold: float = 0.5) -> DataFrame:
-    """(row_id, prediction): 1 for every label whose sigmoid exceeds the threshold."""
+def predict_labels(points: DataFrame, layers: list[np.ndarray], threshold: float = 0.5,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, *keep, prediction): 1 for every label whose sigmoid exceeds the threshold."""
     return logits(points, layers).select(
-        "row_id", over_threshold(sigmoid(F.col("logits")), threshold).alias("prediction"))
+        "row_id", *keep, over_threshold(sigmoid(F.col("logits")), threshold).alias("prediction"))
 
 
-def predict(points: DataFrame, layers: list[np.ndarray], task: str) -> DataFrame:
-    """Class for ``single``; label array for ``multi`` and ``onehot``."""
+def predict(points: DataFrame, layers: list[np.ndarray], task: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Class for ``single``; label array for ``multi`` and ``onehot``. Columns in ``keep`` stay, which saves a join."""
     task_loss(task)
-    return predict_class(points, layers) if task == "single" else predict_labels(points, layers)
+    return predict_class(points, layers, keep) if task == "single" else predict_labels(points, layers, keep=keep)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelpick.session import materialize
+
 
 def labeled_rows(points: DataFrame, selected: DataFrame) -> DataFrame:
     return points.join(selected.select("row_id"), "row_id", "left_semi")
@@ -15,7 +17,7 @@ def unlabeled_rows(points: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def unlabeled_ids(points: DataFrame, selected: DataFrame) -> DataFrame:
-    return points.select("row_id").subtract(selected.select("row_id"))
+    return unlabeled_rows(points.select("row_id"), selected)
 
 
 def all_but_last(points: DataFrame) -> DataFrame:
@@ -43,4 +45,5 @@ def label_codes(df: DataFrame, column: str = "label") -> DataFrame:
 
 
 def with_label_code(df: DataFrame, column: str = "label") -> DataFrame:
-    return df.join(label_codes(df, column), column)
+    codes = materialize(label_codes(df, column), "label_codes")  # a stored table has a known size, so Spark can broadcast it
+    return df.join(codes, column)

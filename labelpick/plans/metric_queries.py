@@ -135,9 +135,8 @@ _WEIGHTS = ("f AS MATERIALIZED (SELECT j, freq, (1 / freq) / sum(1 / freq) OVER
 SELECT count(*) AS n, {sround(f'avg((1 - y) * z + (1 + (w - 1) * y) * ({_BCE_TERM}))')} AS loss FROM t JOIN f USING (j)""")
 def bce_pos_weight(spark, folder):
     rows = _label_rows(spark, folder)
-    weights = metrics.label_weights(rows).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "weight"))), lambda s: s["weight"]))
-    per_row = V.bce_rows(F.col("logits"), V.doubles("label"), weights.scalar())
+    weights = [r["weight"] for r in metrics.label_weights(rows).orderBy("position").collect()]  # one per label
+    per_row = V.bce_rows(F.col("logits"), V.doubles("label"), V.array_of(weights))
     return rows.agg(F.sum(F.size("label")).cast("long").alias("n"), r6(F.sum(per_row) / F.sum(F.size("label"))).alias("loss"))
 
 

@@ -116,8 +116,8 @@ def run_train(spark: SparkSession, table: DataFrame, store: str, run_id: str, co
 def run_evaluate(spark: SparkSession, table: DataFrame, store: str, config: RunConfig, part: str = "val") -> DataFrame:
     """Metric table of the newest classifier on the ``val`` or ``test`` split."""
     points = _points(table, part, config)
-    scored = points.drop("embedding").join(
-        predict(points, load_model(spark, f"{store}/models", _name("classifier", config)), config.task), "row_id")
+    keep = tuple(c for c in ("label", "baseline") if c in points.columns)
+    scored = predict(points, load_model(spark, f"{store}/models", _name("classifier", config)), config.task, keep)
     score = {"single": metrics.evaluate_single, "multi": metrics.evaluate_multi, "onehot": metrics.evaluate_one_hot}
     return score[config.task](scored)
 

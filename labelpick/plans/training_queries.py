@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 import numpy as np
 from pyspark.sql import functions as F
 
+from labelpick.functions.random import uniform
 from labelpick.functions.vectors import one_hot
 from labelpick.operators import batches, cluster, heads, mixmatch, nn, project, select, sets
 from labelpick.operators.metrics import label_weights
@@ -396,7 +397,9 @@ def pca_projection(spark, folder):
 
 
 def _splits(spark, folder):
-    part = F.when(F.col("vec_id") % 10 < 7, "train").when(F.col("vec_id") % 10 < 9, "val").otherwise("test")
+    """Seeded random split of the whole table: 70 % train, 20 % val, 10 % test."""
+    u = uniform(F.col("vec_id"), 0, 17)
+    part = F.when(u < 0.7, "train").when(u < 0.9, "val").otherwise("test")
     return table(spark, folder, "embeddings").withColumn("dataset", part)
 
 
