@@ -30,7 +30,7 @@ def uniform(row_id: Column, position, draw: int = 0, seed: int = 0) -> Column:
         prime,
     )
     for _ in range(ROUNDS):
-        x = F.pmod(F.pmod(x * x, prime) + x * F.lit(ROUND_FACTOR) + F.lit(ROUND_STEP), prime)
+        x = F.pmod(x * (x + F.lit(ROUND_FACTOR)) + F.lit(ROUND_STEP), prime)
     return x / F.lit(float(PRIME))
 
 
@@ -41,7 +41,7 @@ def uniform_array(row_id: np.ndarray, position: np.ndarray, draw: int = 0, seed:
     x = (low * ID_STEP + high * HIGH_STEP)[:, None] + np.asarray(position, np.int64)[None, :] * POS_STEP
     x = (x + draw * DRAW_STEP + seed) % PRIME
     for _ in range(ROUNDS):
-        x = ((x * x) % PRIME + x * ROUND_FACTOR + ROUND_STEP) % PRIME
+        x = (x * (x + ROUND_FACTOR) + ROUND_STEP) % PRIME
     return x / float(PRIME)
 
 

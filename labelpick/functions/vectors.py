@@ -23,23 +23,26 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda p, q: (p - q) * (p - q))))
 
 
-def _shifted(z: Column) -> Column:
-    return F.transform(z, lambda v: v - F.array_max(z))
+def bind(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once: inside a lambda, Spark would compute it again for every entry."""
+    return F.transform(F.array(value), body)[0]
+
 
+def _divided_by_total(v: Column) -> Column:
+    return bind(v, lambda e: bind(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
-def _divided(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x / by)
+
+def _shifted(z: Column) -> Column:
+    return bind(z, lambda a: bind(F.array_max(a), lambda top: F.transform(a, lambda v: v - top)))
 
 
 def softmax(z: Column) -> Column:
-    e = F.transform(_shifted(z), lambda v: F.exp(v))
-    return _divided(e, total(e))
+    return _divided_by_total(F.transform(_shifted(z), lambda v: F.exp(v)))
 
 
 def log_softmax(z: Column) -> Column:
-    s = _shifted(z)
-    norm = F.ln(total(F.transform(s, lambda v: F.exp(v))))
-    return F.transform(s, lambda v: v - norm)
+    return bind(_shifted(z), lambda s: bind(F.ln(total(F.transform(s, lambda v: F.exp(v)))),
+                                            lambda norm: F.transform(s, lambda v: v - norm)))
 
 
 def sigmoid(z: Column) -> Column:
@@ -47,8 +50,7 @@ def sigmoid(z: Column) -> Column:
 
 
 def sharpen(p: Column, temperature: float) -> Column:
-    q = F.transform(p, lambda v: F.pow(v, F.lit(1.0 / temperature)))
-    return _divided(q, total(q))
+    return _divided_by_total(F.transform(p, lambda v: F.pow(v, F.lit(1.0 / temperature))))
 
 
 def over_threshold(p: Column, threshold: float = 0.5) -> Column:
@@ -62,7 +64,7 @@ def one_hot(label: Column, n_classes: int) -> Column:
 
 def argmax(v: Column) -> Column:
     """Position of the largest entry; the first one wins, so an all-zero array gives 0."""
-    return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+    return bind(v, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def kl_rows(logits: Column, target: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -62,17 +62,19 @@ def pseudo_labels(points: DataFrame, layers: list[np.ndarray], copies: int = 2,
 def with_partner(rows: DataFrame, seed: int = 0) -> DataFrame:
     """Add ``b_*`` columns with the mixing partner: the row at the same place of a random order of the batch.
 
-    ``rows``: epoch, batch, is_unlabeled, pos, row_id, embedding, target. Batches have a fixed size, so a window over a
-    batch stays small.
+    ``rows``: epoch, batch, is_unlabeled, pos, row_id, embedding, target. A batch has a fixed size, so its rows fit into
+    one array: sorted both ways and zipped, it yields the pairs after a single shuffle.
     """
-    group = Window.partitionBy("epoch", "batch")
     u = uniform(F.col("row_id"), F.pmod("batch", F.lit(1_000_003)), PARTNER_DRAW, seed)
-    placed = (rows.withColumn("slot", F.row_number().over(group.orderBy("is_unlabeled", "pos")))
-              .withColumn("to", F.row_number().over(group.orderBy(u, "row_id")))
-              .withColumn("size", F.count("*").over(group)))
-    partner = placed.select("epoch", "batch", F.col("to").alias("slot"),
-                            *[F.col(c).alias(f"b_{c}") for c in ("row_id", "embedding", "target")])
-    return placed.drop("to").join(partner, ["epoch", "batch", "slot"])
+    item = F.struct("is_unlabeled", "pos", "row_id", "embedding", "target", u.alias("u"))
+    in_order = F.array_sort("items")  # by is_unlabeled, pos
+    shuffled = F.array_sort(F.transform("items", lambda s: F.struct(s["u"], s["row_id"], s["embedding"], s["target"])))
+    pairs = F.posexplode(F.arrays_zip(in_order.alias("a"), shuffled.alias("b"))).alias("at", "pair")
+    grouped = rows.groupBy("epoch", "batch").agg(F.collect_list(item).alias("items"))
+    names = ("row_id", "embedding", "target")
+    return grouped.select("epoch", "batch", F.size("items").alias("size"), pairs).select(
+        "epoch", "batch", (F.col("at") + 1).alias("slot"), "size", *[F.col(f"pair.a.{c}").alias(c) for c in names],
+        *[F.col(f"pair.b.{c}").alias(f"b_{c}") for c in names])
 
 
 def mixed_rows(rows: DataFrame, share: float = 0.75, seed: int = 0) -> DataFrame:
@@ -143,6 +145,7 @@ def fit_mixmatch(points: DataFrame, selected: DataFrame, n_classes: int, task: s
     One optimizer step per epoch, or one per ``batches_per_step`` batches.
     """
     spark, loss = points.sparkSession, task_loss(task)
+    selected = materialize(selected.select("row_id"), "selected")  # a stored table has a known size for the joins
     labels = with_target(labeled_rows(points, selected), task, n_classes)
     rest = unlabeled_rows(points, selected).select("row_id", "embedding",
                                                    F.lit(None).cast("array<double>").alias("target"))

@@ -224,7 +224,17 @@ def validation_loss_table(rows: DataFrame, layers: list[np.ndarray], task: str,
 
 
 def validation_loss(rows: DataFrame, layers: list[np.ndarray], task: str, n_classes: int) -> float:
-    return validation_loss_table(rows, layers, task, n_classes).first()["loss"]
+    """The same number for the training loop: forward pass and loss in one task, only sums leave it."""
+    shared, loss = ship(rows.sparkSession, layers), task_loss(task)
+
+    def fold(acc, batch):
+        z = run_layers(K.to_matrix(batch.column(0)), shared.value)[-1]
+        acc["loss"] += logit_gradient(z, K.to_matrix(batch.column(1)), np.ones(len(z)), loss)[0]
+        acc["n"] += len(z)
+
+    got = collect_sums(with_target(rows, task, n_classes).select("embedding", "target"), {"loss": (1,), "n": (1,)}, fold)
+    shared.unpersist()
+    return float(got["loss"][0] / max(got["n"][0], 1.0))
 
 
 def predict_class(points: DataFrame, layers: list[np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:

@@ -81,7 +81,8 @@ def test_early_stopping_keeps_last_or_best():
 def test_supervised_training_learns(labeled):
     fit = nn.fit_supervised(labeled, 3, "single", epochs=15, lr=0.05, hidden=(8,), validation=labeled)
     assert fit.losses[-1] < 0.5 * fit.losses[0]
-    assert np.isclose(fit.validation[-1], nn.validation_loss(labeled, fit.params, "single", 3))
+    table = nn.validation_loss_table(labeled, fit.params, "single", 3).first()
+    assert np.isclose(fit.validation[-1], table["loss"]) and table["n"] == 100
     scored = nn.predict(labeled, fit.params, "single", keep=("label",))
     assert scored.filter("label = prediction").count() > 85
 
