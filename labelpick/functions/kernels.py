@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+TILE_VALUES = 1 << 22
+
 
 def to_matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     """List column -> (rows, dim) matrix. Null or ragged vectors are an error, never skipped."""
@@ -60,6 +62,13 @@ def product_distances(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, n
     return approx, slack
 
 
+def row_tiles(x: np.ndarray, width: int):
+    """Rows of a batch in parts whose (rows, width) result stays small."""
+    step = max(1, TILE_VALUES // max(width, 1))
+    for start in range(0, len(x), step):
+        yield x[start:start + step]
+
+
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of and distance to the nearest center; the lowest index wins ties.
 
@@ -68,6 +77,11 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if x.shape[0] == 0:
         return np.empty(0, np.int64), np.empty(0)
     check_dim(x, centers.shape[1])
+    parts = [_nearest(part, centers) for part in row_tiles(x, len(centers))]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([d for _, d in parts])
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     approx, slack = product_distances(x, centers)
     best = approx.argmin(axis=1)
     low = approx[np.arange(len(x)), best]

@@ -18,7 +18,7 @@ from labelpick.functions.random import uniform
 from labelpick.functions.vectors import doubles
 from labelpick.operators.batches import batches
 from labelpick.operators.partials import collect_sums
-from labelpick.session import check_model_size, materialize, ship
+from labelpick.session import check_model_size, scratch_tables, ship
 
 INIT_DRAW = 900_002
 
@@ -230,12 +230,12 @@ def fuzzy_cmeans(points: DataFrame, init: np.ndarray, max_iter: int = 20, tol: f
         shared = ship(points.sparkSession, centers, "centroids")
 
         def fold(acc, batch, shared=shared):
-            x = K.to_matrix(batch.column(0))
-            K.check_dim(x, dim)
-            weight = memberships(x, shared.value, fuzzifier) ** fuzzifier
-            acc["sum"] += weight.T @ x
-            acc["weight"] += weight.sum(axis=0)
-            acc["cost"] += (weight * K.squared_distances(x, shared.value)).sum()
+            for x in K.row_tiles(K.to_matrix(batch.column(0)), k):
+                K.check_dim(x, dim)
+                weight = memberships(x, shared.value, fuzzifier) ** fuzzifier
+                acc["sum"] += weight.T @ x
+                acc["weight"] += weight.sum(axis=0)
+                acc["cost"] += (weight * K.squared_distances(x, shared.value)).sum()
 
         got = collect_sums(vectors, {"sum": (k, dim), "weight": (k,), "cost": (1,)}, fold)
         shared.unpersist()
@@ -255,15 +255,19 @@ def minibatch_kmeans(points: DataFrame, init: np.ndarray, batch_size: int = 100,
     steps walk through the shuffled rows and start over at the end. Stops when the squared shift per step falls to
     ``tol`` times the mean variance of the batch.
     """
-    centers = np.array(init, float)
-    k, dim = centers.shape
     drawn = batches(points.select("row_id", "embedding"), batch_size, seed, first=max_steps)
-    drawn = materialize(drawn.repartitionByRange("batch").sortWithinPartitions("batch"), "minibatch")
+    with scratch_tables(points.sparkSession) as write:
+        drawn = write(drawn.repartitionByRange("batch").sortWithinPartitions("batch"), "minibatch")
+        return _minibatch_steps(drawn, np.array(init, float), max_steps, tol)
+
+
+def _minibatch_steps(drawn: DataFrame, centers: np.ndarray, max_steps: int, tol: float) -> ClusterFit:
+    k, dim = centers.shape
     n_batches = (drawn.agg(F.max("batch")).first()[0] or 0) + 1
     seen, done, cost = np.zeros(k), 0, float("nan")
     shapes = {"sum": (k, dim), "n": (k,), "cost": (1,), "square": (1,)}
     for step in range(max_steps):
-        shared = ship(points.sparkSession, centers, "centroids")
+        shared = ship(drawn.sparkSession, centers, "centroids")
 
         def fold(acc, batch, shared=shared):
             x = K.to_matrix(batch.column(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from labelpick.functions import kernels as K
-from labelpick.session import materialize
+from labelpick.session import materialize, small_side
 
 BLOCK_ROWS = 20_000
 TILE_ROWS = 256
@@ -56,18 +56,17 @@ def _blocks(packed: DataFrame, block_rows: int) -> DataFrame:
 
     Rings are ranges of the distance to the center; a ring that holds too many rows is cut further by hash.
     """
-    sizes = packed.groupBy("k").agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    n_rings = int(min(MAX_RINGS, -(-most // block_rows)))
+    sizes = packed.groupBy("k").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("k")).first()
+    n_rings = int(min(MAX_RINGS, -(-(sizes["most"] or 0) // block_rows)))
     if n_rings <= 1:
         return packed.select("*", F.lit(0).alias("ring"), F.lit(0).alias("chunk"))
     cuts = packed.groupBy("k").agg(
         F.percentile_approx("d", [(i + 1) / n_rings for i in range(n_rings - 1)], 10_000).alias("cuts"))
-    # one row per cluster, so the broadcast is bounded by n_clusters * MAX_RINGS numbers
-    ringed = packed.join(F.broadcast(cuts), "k").withColumn(
+    n_blocks = sizes["k"] * n_rings  # bounds the numbers in ``cuts`` and the rows of ``counts``
+    ringed = packed.join(small_side(cuts, n_blocks), "k").withColumn(
         "ring", F.size(F.filter("cuts", lambda c: c < F.col("d")))).drop("cuts")
     counts = ringed.groupBy("k", "ring").agg(F.ceil(F.count("*") / block_rows).alias("_chunks"))
-    return (ringed.join(F.broadcast(counts), ["k", "ring"])
+    return (ringed.join(small_side(counts, n_blocks), ["k", "ring"])
             .withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("_chunks")).cast("int")).drop("_chunks"))
 
 
@@ -95,7 +94,8 @@ def _top_lists(n_query: int, query: np.ndarray, d: np.ndarray, copies: np.ndarra
     return [d[starts[i]:min(starts[i + 1], starts[i] + k)] for i in range(n_query)]
 
 
-def row_density(assigned: DataFrame, k: int = 10, epsilon: float = 1e-5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def row_density(assigned: DataFrame, k: int = 10, epsilon: float = 1e-5, block_rows: int = BLOCK_ROWS,
+                write=materialize) -> DataFrame:
     """(k, row_id, vec, density) per distinct vector: 1 / (mean distance to its k nearest co-members + epsilon).
 
     ``assigned`` holds row_id, k, d, embedding. Exact: each row first searches its own block, which bounds its k-th
@@ -105,7 +105,7 @@ def row_density(assigned: DataFrame, k: int = 10, epsilon: float = 1e-5, block_r
     """
     wide = assigned.schema["embedding"].dataType.elementType.simpleString() != "float"
     kind = np.float64 if wide else np.float32
-    packed = materialize(pack_vectors(assigned), "members")
+    packed = write(pack_vectors(assigned), "members")
     blocked = _blocks(packed, block_rows)
 
     def own_block(table: pa.Table) -> pa.Table:
@@ -123,7 +123,7 @@ def row_density(assigned: DataFrame, k: int = 10, epsilon: float = 1e-5, block_r
     own_schema = "k int, vec binary, row_id long, copies long, d double, ring int, chunk int, " \
                  "top array<double>, reach double"
     cols = ["k", "vec", "row_id", "copies", "d", "ring", "chunk"]
-    own = materialize(blocked.select(cols).groupBy("k", "ring", "chunk").applyInArrow(own_block, own_schema), "own_block")
+    own = write(blocked.select(cols).groupBy("k", "ring", "chunk").applyInArrow(own_block, own_schema), "own_block")
 
     block = ["k", "ring", "chunk"]
     stats = own.groupBy(*block).agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("reach").alias("reach"))

@@ -179,18 +179,19 @@ def head_sums(points: DataFrame, heads: list[np.ndarray], ema: np.ndarray,
 
     def fold(acc, batch):
         w, b, e = shared.value
-        z = head_outputs(K.to_matrix(batch.column(0)), w, b)
-        log_p, aim = K.log_softmax(z), _aims(z, e)
-        p = np.exp(log_p)
-        target, top = p.argmax(axis=2), p.max(axis=2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            acc["local"] += np.where(aim > 0, aim * (np.log(aim) - log_p), 0.0).sum(axis=(0, 2))
-        acc["n"] += len(z)
-        acc["prob"] += p.sum(axis=0)
-        rows, head = np.nonzero(top > threshold)
-        at = (head, target[rows, head])
-        np.add.at(acc["confident"], at, 1.0)
-        np.add.at(acc["ce"], at, -log_p[rows, head, at[1]])
+        for x in K.row_tiles(K.to_matrix(batch.column(0)), b.size):
+            z = head_outputs(x, w, b)
+            log_p, aim = K.log_softmax(z), _aims(z, e)
+            p = np.exp(log_p)
+            target, top = p.argmax(axis=2), p.max(axis=2)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                acc["local"] += np.where(aim > 0, aim * (np.log(aim) - log_p), 0.0).sum(axis=(0, 2))
+            acc["n"] += len(z)
+            acc["prob"] += p.sum(axis=0)
+            rows, head = np.nonzero(top > threshold)
+            at = (head, target[rows, head])
+            np.add.at(acc["confident"], at, 1.0)
+            np.add.at(acc["ce"], at, -log_p[rows, head, at[1]])
 
     per_class = (n_heads, n_clusters)
     got = collect_sums(points.select("embedding"), {"n": (1,), "local": (n_heads,), "prob": per_class,
@@ -210,18 +211,18 @@ def head_gradient(points: DataFrame, heads: list[np.ndarray], ema: np.ndarray, s
 
     def fold(acc, batch):
         w, b, e, class_share = shared.value
-        x = K.to_matrix(batch.column(0))
-        z = head_outputs(x, w, b)
-        p = K.softmax(z)
-        grad = (p - _aims(z, e)) / n
-        target, top = p.argmax(axis=2), p.max(axis=2)
-        rows, head = np.nonzero(top > threshold)
-        cls = target[rows, head]
-        share = class_share[head, cls]
-        grad[rows, head] += p[rows, head] * share[:, None]
-        grad[rows, head, cls] -= share
-        acc["b"] += grad.sum(axis=0)
-        acc["w"] += (x.T @ grad.reshape(len(x), -1)).reshape(x.shape[1], *b.shape).transpose(1, 0, 2)
+        for x in K.row_tiles(K.to_matrix(batch.column(0)), b.size):
+            z = head_outputs(x, w, b)
+            p = K.softmax(z)
+            grad = (p - _aims(z, e)) / n
+            target, top = p.argmax(axis=2), p.max(axis=2)
+            rows, head = np.nonzero(top > threshold)
+            cls = target[rows, head]
+            share = class_share[head, cls]
+            grad[rows, head] += p[rows, head] * share[:, None]
+            grad[rows, head, cls] -= share
+            acc["b"] += grad.sum(axis=0)
+            acc["w"] += (x.T @ grad.reshape(len(x), -1)).reshape(x.shape[1], *b.shape).transpose(1, 0, 2)
 
     got = collect_sums(points.select("embedding"), {"w": heads[0].shape, "b": heads[1].shape}, fold)
     shared.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +17,8 @@ from labelpick.operators.batches import batches, pair_batches
 from labelpick.operators.nn import (Adam, Training, add_gradient, gradient_shapes, init_classifier, logit_gradient,
                                     run_layers, task_loss, train, validation_loss, with_target)
 from labelpick.operators.partials import collect_sums
-from labelpick.operators.sets import labeled_rows, stack, unlabeled_rows
-from labelpick.session import materialize, ship
+from labelpick.operators.sets import split_rows, stack
+from labelpick.session import scratch_tables, ship
 
 PARTNER_DRAW = 900_004
 PLAN_ROWS = 1_000_000
@@ -145,43 +147,42 @@ def fit_mixmatch(points: DataFrame, selected: DataFrame, n_classes: int, task: s
     One optimizer step per epoch, or one per ``batches_per_step`` batches.
     """
     spark, loss = points.sparkSession, task_loss(task)
-    selected = materialize(selected.select("row_id"), "selected")  # a stored table has a known size for the joins
-    labels = with_target(labeled_rows(points, selected), task, n_classes)
-    rest = unlabeled_rows(points, selected).select("row_id", "embedding",
-                                                   F.lit(None).cast("array<double>").alias("target"))
-    lab = materialize(batches(labels, batch_size, seed), "labeled_batches")
-    top = lab.agg(F.max("batch").alias("b"), F.first(F.size("embedding")).alias("d")).first()
-    if top["b"] is None:
-        raise ValueError("none of the selected rows is in the table")
-    n_lab, dim = top["b"] + 1, top["d"]
-    unl = materialize(batches(rest, batch_size, seed + 1, first=epochs * n_lab), "unlabeled_batches")
-    last = unl.agg(F.max("batch")).first()[0]
-    if last is None:
-        raise ValueError("no unlabeled row is left")
-    pairs = pair_batches(spark, n_lab, last + 1, epochs)
-    chunk = max(1, min(epochs, PLAN_ROWS // (2 * batch_size * n_lab)))
-    step_batches = batches_per_step or n_lab
-    state = {"plan": None, "from": -1}
-    adam = Adam(lr)
-
-    def epoch(params, number):
-        if state["from"] != number // chunk:
-            state["from"] = number // chunk
-            now = pairs.filter((F.col("epoch") >= number) & (F.col("epoch") < number + chunk))
-            plan = with_partner(batch_rows(lab, unl, now), seed)
-            # range order lets a step skip the row groups of other epochs
-            state["plan"] = materialize(plan.repartitionByRange("epoch", "batch").sortWithinPartitions("epoch", "batch"),
-                                        "mixing_plan")
-        losses = []
-        for start in range(0, n_lab, step_batches):
-            count = min(step_batches, n_lab - start)
-            first = number * n_lab + start
-            rows = state["plan"].filter((F.col("epoch") == number) & F.col("batch").between(first, first + count - 1))
-            value, grads = mixed_gradient(rows, params, count, loss, share=share, copies=copies, std_dev=std_dev,
-                                          temperature=temperature, draw=number * copies, seed=seed, pseudo=pseudo)
-            params = adam.update(params, grads)
-            losses.append(value)
-        return float(np.mean(losses)), params
-
-    check = None if validation is None else lambda p: validation_loss(validation, p, task, n_classes)
-    return train(init or init_classifier(dim, n_classes, hidden, seed), epoch, epochs, check, patience, keep)
+    mixing = dict(share=share, copies=copies, std_dev=std_dev, temperature=temperature, seed=seed, pseudo=pseudo)
+    with scratch_tables(spark) as write, ExitStack() as plans:
+        labels, rest = split_rows(points, selected, write)
+        labels = with_target(labels, task, n_classes)
+        rest = rest.select("row_id", "embedding", F.lit(None).cast("array<double>").alias("target"))
+        lab = write(batches(labels, batch_size, seed), "labeled_batches")
+        top = lab.agg(F.max("batch").alias("b"), F.first(F.size("embedding")).alias("d")).first()
+        if top["b"] is None:
+            raise ValueError("none of the selected rows is in the table")
+        n_lab, dim = top["b"] + 1, top["d"]
+        unl = write(batches(rest, batch_size, seed + 1, first=epochs * n_lab), "unlabeled_batches")
+        last = unl.agg(F.max("batch")).first()[0]
+        if last is None:
+            raise ValueError("no unlabeled row is left")
+        pairs = pair_batches(spark, n_lab, last + 1, epochs)
+        chunk = max(1, min(epochs, PLAN_ROWS // (2 * batch_size * n_lab)))
+        step_batches, adam, plan = batches_per_step or n_lab, Adam(lr), None
+
+        def epoch(params, number):
+            nonlocal plan
+            if number % chunk == 0:
+                plans.close()  # drops the layout of the epochs before
+                now = pairs.filter((F.col("epoch") >= number) & (F.col("epoch") < number + chunk))
+                laid_out = with_partner(batch_rows(lab, unl, now), seed)
+                # range order lets a step skip the row groups of other epochs
+                laid_out = laid_out.repartitionByRange("epoch", "batch").sortWithinPartitions("epoch", "batch")
+                plan = plans.enter_context(scratch_tables(spark))(laid_out, "mixing_plan")
+            losses = []
+            for start in range(0, n_lab, step_batches):
+                count = min(step_batches, n_lab - start)
+                first = number * n_lab + start
+                rows = plan.filter((F.col("epoch") == number) & F.col("batch").between(first, first + count - 1))
+                value, grads = mixed_gradient(rows, params, count, loss, draw=number * copies, **mixing)
+                params = adam.update(params, grads)
+                losses.append(value)
+            return float(np.mean(losses)), params
+
+        check = None if validation is None else lambda p: validation_loss(validation, p, task, n_classes)
+        return train(init or init_classifier(dim, n_classes, hidden, seed), epoch, epochs, check, patience, keep)

@@ -13,7 +13,7 @@ from pyspark.sql.functions import arrow_udf
 from labelpick.functions import kernels as K
 from labelpick.operators.scale import moments, rescale
 from labelpick.operators.sets import with_label_code
-from labelpick.session import ship
+from labelpick.session import materialize, ship
 
 
 def principal_axes(points: DataFrame, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +40,7 @@ def project_2d(points: DataFrame, selected: DataFrame) -> DataFrame:
         xy = (m - center) @ ax
         return pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
 
-    flagged = points.join(selected.select("row_id").distinct().withColumn("_hit", F.lit(1)), "row_id", "left")
+    picked = materialize(selected.select("row_id").distinct(), "selected_ids").withColumn("_hit", F.lit(1))
+    flagged = points.join(picked, "row_id", "left")
     rows = flagged.select("row_id", "label", place("embedding").alias("_p"), F.col("_hit").isNotNull().alias("selected"))
     return with_label_code(rows).select("row_id", "_p.x", "_p.y", "label", "code", "selected")

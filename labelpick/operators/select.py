@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from labelpick.functions import kernels as K
 from labelpick.operators import cluster, density
 from labelpick.operators.repulsion import Anchors, collect_anchors, ema_factor, repulsion, repulsion_terms, with_utility
-from labelpick.session import materialize, ship
+from labelpick.session import materialize, scratch_tables, ship
 
 SMALL_ID_LIST = 10_000
 
@@ -112,7 +112,16 @@ def select_per_point(assigned: DataFrame, *, k: int = 10, m_reg: float = 0.9, la
     """
     wide = assigned.schema["embedding"].dataType.elementType.simpleString() != "float"
     kind = np.float64 if wide else np.float32
-    dense = materialize(density.row_density(assigned, k, epsilon, block_rows), "row_density")
+    with scratch_tables(assigned.sparkSession) as write:
+        dense = write(density.row_density(assigned, k, epsilon, block_rows, write), "row_density")
+        rows = _rounds(dense, kind, m_reg, lambda_, epsilon, alpha, rounds)
+    return assigned.sparkSession.createDataFrame(
+        [(r["k"], r["row_id"], r["density"], r["reg"], r["utility"]) for r in rows],
+        "k int, row_id long, density double, reg double, utility double")
+
+
+def _rounds(dense: DataFrame, kind, m_reg: float, lambda_: float, epsilon: float, alpha: float, rounds: int) -> list:
+    """Best row per cluster after all rounds."""
     history: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
     rows = []
     for _ in range(max(rounds, 1)):
@@ -127,9 +136,7 @@ def select_per_point(assigned: DataFrame, *, k: int = 10, m_reg: float = 0.9, la
         for r in rows:
             vec, weight = history.get((r["k"], r["row_id"]), (np.frombuffer(r["vec"], kind).astype(float), 0.0))
             history[(r["k"], r["row_id"])] = (vec, weight + 1.0 - m_reg)
-    return assigned.sparkSession.createDataFrame(
-        [(r["k"], r["row_id"], r["density"], r["reg"], r["utility"]) for r in rows],
-        "k int, row_id long, density double, reg double, utility double")
+    return rows
 
 
 def select_density(points: DataFrame, n_clusters: int, n_init: int = 10, m_reg: float = 0.9, k: int = 10,

@@ -1,4 +1,8 @@
-"""Splitting a table by a selection, and small set operations. Spark picks the join by the measured size of a side."""
+"""Splitting a table by a selection, and small set operations.
+
+A selection is stored before it is joined: a stored table has a known size, so Spark broadcasts a small one and shuffles
+a large one.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +12,18 @@ from pyspark.sql import functions as F
 from labelpick.session import materialize
 
 
+def split_rows(points: DataFrame, selected: DataFrame, write=materialize) -> tuple[DataFrame, DataFrame]:
+    """(labeled, unlabeled): the rows whose id is selected, and the rest."""
+    ids = write(selected.select("row_id"), "selected_ids")
+    return points.join(ids, "row_id", "left_semi"), points.join(ids, "row_id", "left_anti")
+
+
 def labeled_rows(points: DataFrame, selected: DataFrame) -> DataFrame:
-    return points.join(selected.select("row_id"), "row_id", "left_semi")
+    return split_rows(points, selected)[0]
 
 
 def unlabeled_rows(points: DataFrame, selected: DataFrame) -> DataFrame:
-    return points.join(selected.select("row_id"), "row_id", "left_anti")
+    return split_rows(points, selected)[1]
 
 
 def unlabeled_ids(points: DataFrame, selected: DataFrame) -> DataFrame:
@@ -45,5 +55,5 @@ def label_codes(df: DataFrame, column: str = "label") -> DataFrame:
 
 
 def with_label_code(df: DataFrame, column: str = "label") -> DataFrame:
-    codes = materialize(label_codes(df, column), "label_codes")  # a stored table has a known size, so Spark can broadcast it
+    codes = materialize(label_codes(df, column), "label_codes")
     return df.join(codes, column)

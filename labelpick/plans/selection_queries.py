@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from labelpick.operators import batches, cluster, density, repulsion, scale, select, sets
 from labelpick.plans.registry import (E, FLAT, MU, N_CLUSTERS, _with, class_means, first_centers, long_array, points,
-                                      query, r6, sql_assign, sql_batches, sql_lloyd, sround, start_centers, table)
-from labelpick.session import materialize, scratch_path
+                                      query, r6, sql_assign, sql_batches, sql_lloyd, sql_uniform, sround, start_centers, table)
+from labelpick.session import materialize, scratch_path, small_side
 from labelpick.sources.selections import load_selection, save_selection, select_or_load
 from labelpick.sources.tables import as_points, load_split, partition_data, read_table, write_splits
 
@@ -155,9 +155,9 @@ SELECT row_id, 1 AS labeled, label FROM e WHERE row_id IN (SELECT row_id FROM pi
 UNION ALL SELECT row_id, 0, NULL FROM e WHERE row_id NOT IN (SELECT row_id FROM picked)""")
 def stack_rows(spark, folder):
     p = points(spark, folder)
-    picks = materialize(_picks(p), "picks")
-    labeled = sets.labeled_rows(p, picks).select("row_id", F.lit(1).alias("labeled"), "label")
-    rest = sets.unlabeled_rows(p, picks).select("row_id", F.lit(0).alias("labeled"), F.lit(None).cast("int").alias("label"))
+    labeled, rest = sets.split_rows(p, _picks(p))
+    labeled = labeled.select("row_id", F.lit(1).alias("labeled"), "label")
+    rest = rest.select("row_id", F.lit(0).alias("labeled"), F.lit(None).cast("int").alias("label"))
     return sets.stack(labeled, rest)
 
 
@@ -261,10 +261,30 @@ def minibatch_3(spark, folder):
     return long_array(cluster.centroid_table(spark, fit.centroids), "c", "k")
 
 
-@query("kmeans_restarts")
+RESTARTS, RESTART_STEPS = 5, 4
+
+
+def _sql_restarts(restarts, steps):
+    """All restarts side by side: centers carry the restart number."""
+    draw = sql_uniform("row_id", "0", cluster.INIT_DRAW, 0)
+    parts = [E, FLAT, f"c0 AS MATERIALIZED (SELECT ((n - 1) // {N_CLUSTERS})::INTEGER AS r, ((n - 1) % {N_CLUSTERS})::INTEGER "
+                      f"AS k, x AS c FROM (SELECT row_number() OVER (ORDER BY {draw}, row_id) AS n, x FROM e) "
+                      f"WHERE n <= {N_CLUSTERS * restarts})"]
+    for i in range(steps + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT row_id, r, arg_min(k, {{'d': d, 'k': k}}) AS k, min(d) AS d FROM "
+                     f"(SELECT row_id, r, k, list_distance(x, c) AS d FROM e, c{i}) GROUP BY row_id, r)")
+        if i < steps:
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.r, o.k, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (SELECT r, k, "
+                         f"list(v ORDER BY j) AS c FROM (SELECT r, k, j, avg(v) AS v FROM a{i} JOIN flat USING (row_id) "
+                         f"GROUP BY r, k, j) GROUP BY r, k) m USING (r, k))")
+    return parts + [f"best AS (SELECT arg_min(r, cost) AS r FROM (SELECT r, sum(d * d) AS cost FROM a{steps} GROUP BY r))"]
+
+
+@query("kmeans_restarts", _with(*_sql_restarts(RESTARTS, RESTART_STEPS)) + f"""
+SELECT k, count(*) AS n, {sround('avg(d)')} AS mean_d FROM a{RESTART_STEPS} JOIN best USING (r) GROUP BY k""")
 def kmeans_restarts(spark, folder):
     p = points(spark, folder)
-    fit = cluster.fit_clusters(p, N_CLUSTERS, "lloyd", "random", n_init=10, max_iter=10)
+    fit = cluster.fit_clusters(p, N_CLUSTERS, "lloyd", "random", n_init=RESTARTS, max_iter=RESTART_STEPS, tol=0.0)
     return cluster.assign_nearest(p, fit.centroids).groupBy("k").agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean_d"))
 
 
@@ -282,7 +302,7 @@ def class_distance(spark, folder):
 
     p = points(spark, folder)
     means = cluster.centroid_table(spark, class_means(p))
-    return p.join(means, F.col("label") == F.col("k")).select(
+    return p.join(small_side(means, N_CLASSES), F.col("label") == F.col("k")).select(
         "row_id", r6(euclidean(doubles("embedding"), F.col("c"))).alias("d"))
 
 
@@ -427,10 +447,10 @@ def batch_pairing(spark, folder):
     from labelpick.operators.mixmatch import batch_rows
 
     p = points(spark, folder)
-    picks, target = materialize(_picks(p), "picks"), F.lit(None).cast("array<double>").alias("target")
-    cols = ("row_id", "embedding", target)
-    lab = materialize(batches.batches(sets.labeled_rows(p, picks).select(*cols), 4, 0), "labeled")
-    unl = materialize(batches.batches(sets.unlabeled_rows(p, picks).select(*cols), 64, 1), "unlabeled")
+    cols = ("row_id", "embedding", F.lit(None).cast("array<double>").alias("target"))
+    labeled, rest = sets.split_rows(p, _picks(p))
+    lab = materialize(batches.batches(labeled.select(*cols), 4, 0), "labeled")
+    unl = materialize(batches.batches(rest.select(*cols), 64, 1), "unlabeled")
     n_lab, n_unl = (df.agg(F.max("batch")).first()[0] + 1 for df in (lab, unl))
     pairs = batches.pair_batches(spark, n_lab, n_unl, epochs=5)
     return batch_rows(lab, unl, pairs).select("epoch", "batch", "is_unlabeled", "pos", "row_id")

@@ -23,6 +23,7 @@ _HEADS = _with(E, FLAT, MU, HEAD_Z, sql_softmax("q", "z", "row_id, head"),
                "best AS MATERIALIZED (SELECT row_id, head, max(p) AS max_prob, arg_min(target, {'p': -p, 't': target}) AS target, "
                "arg_min(log_p, {'p': -p, 't': target}) AS log_p FROM q GROUP BY row_id, head)",
                "sure AS MATERIALIZED (SELECT * FROM best WHERE max_prob > 0.8)")
+DIM, STD_DEV, TEMPERATURE, COPIES, SHARE = 64, 0.1, 0.5, 2, 0.75
 EMA = np.array([[(1.0 + h + c) for c in range(N_CLASSES)] for h in range(N_HEADS)])
 EMA = EMA / EMA.sum(axis=1, keepdims=True)
 _EMA_SQL = (f"ema AS (SELECT head, target, (1.0::DOUBLE + head + target) / sum(1.0::DOUBLE + head + target) OVER (PARTITION BY head) AS "
@@ -157,12 +158,52 @@ def head_scores(spark, folder):
     return heads.head_scores(p, fixed_heads(p)).withColumn("score", r6("score"))
 
 
-@query("fit_heads")
+def _sql_head_epoch(n, w, ema):
+    """Probabilities, losses and gradient of epoch ``n`` from weights ``w`` (head, target, j, w, b) and ``ema``."""
+    return [
+        f"z{n} AS MATERIALIZED (SELECT row_id, head, target, sum(v * w) + any_value(b) AS z FROM flat JOIN {w} USING (j) "
+        f"GROUP BY row_id, head, target)",
+        sql_softmax(f"q{n}", f"z{n}", "row_id, head"),
+        f"top{n} AS MATERIALIZED (SELECT row_id, head, arg_min(target, {{'p': -p, 't': target}}) AS own, max(p) AS mp, "
+        f"arg_min(log_p, {{'p': -p, 't': target}}) AS lp FROM q{n} GROUP BY row_id, head HAVING max(p) > 0.8)",
+        f"share{n} AS MATERIALIZED (SELECT head, own, avg(-lp) AS ce, 1.0::DOUBLE / count(*) / count(*) OVER (PARTITION BY head) AS s "
+        f"FROM top{n} GROUP BY head, own)",
+        f"soft{n} AS MATERIALIZED (SELECT *, exp(2 * (zz - max(zz) OVER (PARTITION BY row_id, head))) AS w FROM (SELECT q.*, "
+        f"z - 0.1 * ln(e) AS zz FROM q{n} q JOIN {ema} USING (head, target)))",
+        f"aim{n} AS MATERIALIZED (SELECT row_id, head, target, p, log_p, w / sum(w) OVER (PARTITION BY row_id, head) AS t FROM soft{n})",
+        f"loss{n} AS MATERIALIZED (SELECT (SELECT sum(CASE WHEN t > 0 THEN t * (ln(t) - log_p) ELSE 0 END) FROM aim{n}) / "
+        f"(SELECT count(*) FROM e) + coalesce((SELECT sum(l) FROM (SELECT avg(ce) AS l FROM share{n} GROUP BY head)), 0) AS loss)",
+        f"g{n} AS MATERIALIZED (SELECT a.row_id, a.head, a.target, (p - t) / (SELECT count(*) FROM e) + CASE WHEN s IS NULL THEN 0 "
+        f"ELSE s * (p - (a.target = o.own)::INTEGER) END AS g FROM aim{n} a LEFT JOIN (SELECT row_id, head, own, s FROM top{n} "
+        f"JOIN share{n} USING (head, own)) o USING (row_id, head))",
+    ]
+
+
+_TWO_EPOCHS = _with(
+    E, FLAT, MU,
+    f"w0 AS MATERIALIZED (SELECT h.head, k AS target, unnest(range({DIM})) AS j, unnest(c) * {SCALE} * (1 + h.head / 2.0::DOUBLE) AS w, "
+    f"0.0::DOUBLE AS b FROM mu, (SELECT unnest(range({N_HEADS})) AS head) h)",
+    f"ema0 AS (SELECT head, target, 1.0::DOUBLE / {N_CLASSES} AS e FROM (SELECT unnest(range({N_HEADS})) AS head), "
+    f"(SELECT unnest(range({N_CLASSES})) AS target))",
+    *_sql_head_epoch(0, "w0", "ema0"),
+    "gw AS MATERIALIZED (SELECT head, target, j, sum(g * v) AS g FROM g0 JOIN flat USING (row_id) GROUP BY head, target, j)",
+    "gb AS MATERIALIZED (SELECT head, target, sum(g) AS g FROM g0 GROUP BY head, target)",
+    "w1 AS MATERIALIZED (SELECT head, target, j, w - 0.001 * gw.g / (abs(gw.g) + 1e-8) AS w, b - 0.001 * gb.g / (abs(gb.g) + 1e-8) AS b "
+    "FROM w0 JOIN gw USING (head, target, j) JOIN gb USING (head, target))",
+    "moved AS (SELECT head, target, 0.1 / 10 + 0.9 * avg(p) AS m FROM q0 GROUP BY head, target)",
+    "ema1 AS MATERIALIZED (SELECT head, target, m / sum(m) OVER (PARTITION BY head) AS e FROM moved)",
+    *_sql_head_epoch(1, "w1", "ema1"))
+
+
+@query("fit_heads", _TWO_EPOCHS + f"""
+SELECT 0 AS epoch, {sround('(SELECT loss FROM loss0)')} AS loss, {sround('(SELECT loss FROM loss1)')} AS validation""")
 def fit_heads(spark, folder):
+    """One epoch of head training: its loss, and the loss after the Adam step and the move of the average."""
     p = points(spark, folder)
-    fit, ema = heads.fit_heads(p, N_CLUSTERS, N_HEADS, epochs=5, validation=p, patience=3)
+    fit, _ = heads.fit_heads(p, N_CLASSES, N_HEADS, epochs=1, validation=p, init=fixed_heads(p))
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(fit.losses, fit.validation))]
-    return spark.createDataFrame(rows, "epoch int, loss double, validation double")
+    return spark.createDataFrame(rows, "epoch int, loss double, validation double").select(
+        "epoch", r6("loss").alias("loss"), r6("validation").alias("validation"))
 
 
 @query("select_heads")
@@ -172,7 +213,6 @@ def select_heads(spark, folder):
 
 # ---- augmentation, pseudo-labels, mixing ----------------------------------------------------------------------------
 
-DIM, STD_DEV, TEMPERATURE, COPIES, SHARE = 64, 0.1, 0.5, 2, 0.75
 
 
 @query("augment", _with(E, FLAT, sql_noise("n", "flat", DIM, 3, 11)) + f"""
@@ -276,6 +316,28 @@ def mixed_gradient(spark, folder):
     return spark.createDataFrame(out, "j int, value double").withColumn("value", r6("value"))
 
 
+_MIX_STEP = _MIX_GRAD.rstrip() + ",\n" + ",\n".join([
+    f"gz AS MATERIALIZED (SELECT row_id, partner_id, j, (p - t) / size / (SELECT nl FROM sizes) AS g FROM mq)",
+    f"gw AS MATERIALIZED (SELECT gz.j AS k, a.j, sum(g * ({SHARE} * a.v + {1 - SHARE} * b.v)) AS g FROM gz JOIN flat a ON a.row_id = "
+    f"gz.row_id JOIN flat b ON b.row_id = gz.partner_id AND b.j = a.j GROUP BY gz.j, a.j)",
+    "gb AS MATERIALIZED (SELECT j AS k, sum(g) AS g FROM gz GROUP BY j)",
+    f"w1 AS MATERIALIZED (SELECT k, j, {SCALE} * w - 0.001 * g / (abs(g) + 1e-8) AS w FROM mu_flat JOIN gw USING (k, j))",
+    "v1 AS MATERIALIZED (SELECT row_id, any_value(label) AS label, k AS j, sum(v * w) - 0.001 * any_value(gb.g / (abs(gb.g) + 1e-8)) "
+    "AS z FROM flat JOIN w1 USING (j) JOIN gb USING (k) GROUP BY row_id, k)",
+    sql_softmax("vq", "v1", "row_id")])
+
+
+@query("fit_mixmatch_step", _MIX_STEP + f"""
+SELECT 0 AS epoch, {sround("(SELECT sum(CASE WHEN t > 0 THEN t * (ln(t) - log_p) ELSE 0 END / size) / (SELECT nl FROM sizes) FROM mq)")} AS loss,
+       {sround("(SELECT avg(-log_p) FROM vq WHERE j = label)")} AS validation""")
+def fit_mixmatch_step(spark, folder):
+    """One epoch of training with the first half of the rows labeled: its loss and the validation loss after the step."""
+    p = points(spark, folder)
+    picked = p.filter(F.col("row_id") <= p.agg(F.call_function("div", F.max("row_id"), F.lit(2))).scalar())
+    fit = mixmatch.fit_mixmatch(p, picked, N_CLASSES, "single", epochs=1, init=fixed_layers(p), validation=p)
+    return _history(spark, fit).select("epoch", r6("loss").alias("loss"), r6("validation").alias("validation"))
+
+
 # ---- gradients and training -----------------------------------------------------------------------------------------
 
 _LINEAR = _with(E, FLAT, MU, LINEAR_Z, sql_softmax("q", "z", "row_id"))

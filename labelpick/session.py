@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Largest model (centroids, weights, selected rows) that may be held by the driver and shipped to executors.
 MODEL_BYTES_LIMIT = 512 * 1024 * 1024
+# Most rows of a small table whose row count has a known bound that may be broadcast in a join.
+BROADCAST_ROWS_LIMIT = 1_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,11 +38,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the scratch folder and read it back, which also cuts lineage."""
-    path = scratch_path(df.sparkSession, name)
+    return _write(df, scratch_path(df.sparkSession, name))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Give a function that materializes tables and drops them at the end. For results that no longer read them."""
+    paths: list[str] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        paths.append(scratch_path(spark, name))
+        return _write(df, paths[-1])
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_side(df: DataFrame, row_bound: int) -> DataFrame:
+    """Broadcast ``df`` in a join if its proven row bound is small, else leave the join to Spark."""
+    return F.broadcast(df) if row_bound <= BROADCAST_ROWS_LIMIT else df
+
+
 def check_model_size(n_values: int, what: str) -> None:
     if 8 * n_values > MODEL_BYTES_LIMIT:
         raise ValueError(f"{what} needs {8 * n_values} bytes, more than the limit of {MODEL_BYTES_LIMIT}")

@@ -5,8 +5,8 @@ from conftest import SMALLEST
 from tools import check_queries
 
 NAMES = list(entry.queries())
-TRAINING = {"fit_heads", "select_heads", "fit_mixmatch_single", "fit_mixmatch_multi", "fit_supervised", "pca_projection",
-            "run_density_single", "run_density_multi", "run_heads_onehot", "kmeans_restarts", "kmeans_mllib"}
+TRAINING = {"select_heads", "fit_mixmatch_single", "fit_mixmatch_multi", "fit_supervised", "pca_projection",
+            "run_density_single", "run_density_multi", "run_heads_onehot", "kmeans_mllib"}
 
 
 @pytest.fixture(scope="module")
