@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from labelpick.operators import batches, cluster, density, repulsion, scale, select, sets
-from labelpick.plans.registry import (E, FLAT, MU, N_CLUSTERS, _with, class_means, first_centers, long_array, points,
+from labelpick.plans.registry import (E, FLAT, MU, N_CLASSES, N_CLUSTERS, _with, class_means, first_centers, long_array, points,
                                       query, r6, sql_assign, sql_batches, sql_lloyd, sql_uniform, sround, start_centers, table)
 from labelpick.session import materialize, scratch_path, small_side
 from labelpick.sources.selections import load_selection, save_selection, select_or_load

@@ -12,7 +12,7 @@ SMALLEST = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "4")
+    session = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "3")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
