@@ -19,6 +19,7 @@ from labelpick.functions.vectors import doubles
 from labelpick.operators.batches import batches
 from labelpick.operators.partials import collect_sums
 from labelpick.session import check_model_size, scratch_tables, ship
+from labelpick.sources.tables import dimension
 
 INIT_DRAW = 900_002
 
@@ -131,7 +132,7 @@ def nearest_to_center(points: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def means_by_key(rows: DataFrame, n_keys: int, key: str = "label") -> np.ndarray:
     """(n_keys, dim) mean embedding per integer key 0..n_keys-1; zeros for keys without rows."""
-    dim = _dim(rows)
+    dim = dimension(rows)
 
     def fold(acc, batch):
         sums, counts = K.group_sums(K.to_matrix(batch.column(1)), K.ints(batch.column(0)), n_keys)
@@ -142,13 +143,6 @@ def means_by_key(rows: DataFrame, n_keys: int, key: str = "label") -> np.ndarray
     return got["sum"] / np.maximum(got["n"], 1.0)[:, None]
 
 
-def _dim(points: DataFrame) -> int:
-    first = points.select(F.size("embedding").alias("d")).first()
-    if first is None:
-        raise ValueError("no rows")
-    return first["d"]
-
-
 def lloyd(points: DataFrame, init: np.ndarray, max_iter: int = 20, tol: float = 0.0) -> ClusterFit:
     """Lloyd's algorithm from fixed centers. An empty cluster keeps its center.
 

@@ -51,23 +51,23 @@ def unpack(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _blocks(packed: DataFrame, block_rows: int) -> DataFrame:
-    """Add ``ring`` and ``chunk``: cluster members cut into blocks of about ``block_rows``.
+def _blocks(packed: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """Add ``ring`` and ``chunk``: cluster members cut into blocks of about ``block_rows``. Also a bound of the rings.
 
     Rings are ranges of the distance to the center; a ring that holds too many rows is cut further by hash.
     """
     sizes = packed.groupBy("k").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("k")).first()
     n_rings = int(min(MAX_RINGS, -(-(sizes["most"] or 0) // block_rows)))
     if n_rings <= 1:
-        return packed.select("*", F.lit(0).alias("ring"), F.lit(0).alias("chunk"))
+        return packed.select("*", F.lit(0).alias("ring"), F.lit(0).alias("chunk")), sizes["k"]
     cuts = packed.groupBy("k").agg(
         F.percentile_approx("d", [(i + 1) / n_rings for i in range(n_rings - 1)], 10_000).alias("cuts"))
-    n_blocks = sizes["k"] * n_rings  # bounds the numbers in ``cuts`` and the rows of ``counts``
-    ringed = packed.join(small_side(cuts, n_blocks), "k").withColumn(
+    all_rings = sizes["k"] * n_rings  # bounds the numbers in ``cuts`` and the rows of ``counts``
+    ringed = packed.join(small_side(cuts, all_rings), "k").withColumn(
         "ring", F.size(F.filter("cuts", lambda c: c < F.col("d")))).drop("cuts")
     counts = ringed.groupBy("k", "ring").agg(F.ceil(F.count("*") / block_rows).alias("_chunks"))
-    return (ringed.join(small_side(counts, n_blocks), ["k", "ring"])
-            .withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("_chunks")).cast("int")).drop("_chunks"))
+    return (ringed.join(small_side(counts, all_rings), ["k", "ring"])
+            .withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("_chunks")).cast("int")).drop("_chunks")), all_rings
 
 
 def _closest(q: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +94,29 @@ def _top_lists(n_query: int, query: np.ndarray, d: np.ndarray, copies: np.ndarra
     return [d[starts[i]:min(starts[i + 1], starts[i] + k)] for i in range(n_query)]
 
 
+def _pairs_in_reach(stats: DataFrame, all_rings: int) -> DataFrame:
+    """(k, ring, chunk, t_ring, t_chunk, t_lo, t_hi): the blocks each block has to visit besides itself.
+
+    First the rings in reach are taken from the short list of rings of the cluster, then their blocks.
+    """
+    def gap(lo, hi, t_lo, t_hi):
+        """Lower bound of the distance between two blocks; the margin keeps pairs that only fail by rounding."""
+        return F.greatest(lo - t_hi, t_lo - hi, F.lit(0.0)) - 1e-9 * (1 + hi)
+
+    lo, hi, reach = F.col("lo"), F.col("hi"), F.col("reach")
+    rings = (stats.groupBy("k", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+             .groupBy("k").agg(F.collect_list(F.struct("ring", "lo", "hi")).alias("rings")))  # at most MAX_RINGS each
+    near = F.explode(F.filter("rings", lambda r: gap(lo, hi, r["lo"], r["hi"]) <= reach)).alias("r")
+    asking = (stats.join(small_side(rings, all_rings), "k")
+              .select("k", "ring", "chunk", "lo", "hi", "reach", near).withColumn("t_ring", F.col("r.ring")).drop("r"))
+    target = stats.select("k", F.col("ring").alias("t_ring"), F.col("chunk").alias("t_chunk"),
+                          F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"))
+    return (asking.join(target, ["k", "t_ring"])
+            .filter((F.col("ring") != F.col("t_ring")) | (F.col("chunk") != F.col("t_chunk")))
+            .filter(gap(lo, hi, F.col("t_lo"), F.col("t_hi")) <= reach)
+            .select("k", "ring", "chunk", "t_ring", "t_chunk", "t_lo", "t_hi"))
+
+
 def row_density(assigned: DataFrame, k: int = 10, epsilon: float = 1e-5, block_rows: int = BLOCK_ROWS,
                 write=materialize) -> DataFrame:
     """(k, row_id, vec, density) per distinct vector: 1 / (mean distance to its k nearest co-members + epsilon).
@@ -106,7 +129,7 @@ def row_density(assigned: DataFrame, k: int = 10, epsilon: float = 1e-5, block_r
     wide = assigned.schema["embedding"].dataType.elementType.simpleString() != "float"
     kind = np.float64 if wide else np.float32
     packed = write(pack_vectors(assigned), "members")
-    blocked = _blocks(packed, block_rows)
+    blocked, all_rings = _blocks(packed, block_rows)
 
     def own_block(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -125,16 +148,10 @@ def row_density(assigned: DataFrame, k: int = 10, epsilon: float = 1e-5, block_r
     cols = ["k", "vec", "row_id", "copies", "d", "ring", "chunk"]
     own = write(blocked.select(cols).groupBy("k", "ring", "chunk").applyInArrow(own_block, own_schema), "own_block")
 
-    block = ["k", "ring", "chunk"]
-    stats = own.groupBy(*block).agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("reach").alias("reach"))
-    target = stats.select("k", F.col("ring").alias("t_ring"), F.col("chunk").alias("t_chunk"),
-                          F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"))
-    # the margin keeps pairs whose bound only fails by rounding
-    far = F.greatest(F.col("lo") - F.col("t_hi"), F.col("t_lo") - F.col("hi"), F.lit(0.0)) - 1e-9 * (1 + F.col("hi"))
-    pairs = (stats.join(target, "k").filter((F.col("ring") != F.col("t_ring")) | (F.col("chunk") != F.col("t_chunk")))
-             .filter(far <= F.col("reach")).select(*block, "t_ring", "t_chunk", "t_lo", "t_hi"))
+    block, pair = ["k", "ring", "chunk"], ["k", "ring", "chunk", "t_ring", "t_chunk"]
+    pairs = _pairs_in_reach(own.groupBy(*block).agg(
+        F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("reach").alias("reach")), all_rings)
     row_far = F.greatest(F.col("d") - F.col("t_hi"), F.col("t_lo") - F.col("d"), F.lit(0.0)) - 1e-9 * (1 + F.col("d"))
-    pair = block + ["t_ring", "t_chunk"]
     asking = (own.join(pairs, block).filter(row_far <= F.col("reach")).select(*pair, "row_id", "vec"))
     answering = (own.select("k", F.col("ring").alias("t_ring"), F.col("chunk").alias("t_chunk"), "vec", "copies")
                  .join(pairs.select(*pair), ["k", "t_ring", "t_chunk"])

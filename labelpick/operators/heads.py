@@ -17,6 +17,7 @@ from labelpick.functions.vectors import argmax, array_of, kl_rows, log_softmax,
 from labelpick.operators.nn import Adam, Training, train
 from labelpick.operators.partials import collect_sums
 from labelpick.session import ship
+from labelpick.sources.tables import dimension
 
 # fixed values of the method
 MOMENTUM = 0.1
@@ -236,7 +237,7 @@ def fit_heads(points: DataFrame, n_clusters: int, n_heads: int = 3, epochs: int
 
     The validation loss reads the moving average but never changes it.
     """
-    dim = points.select(F.size("embedding").alias("d")).first()["d"]
+    dim = dimension(points)
     state, adam = {"ema": np.full((n_heads, n_clusters), 1.0 / n_clusters)}, Adam(lr)
 
     def epoch(params, _):

@@ -20,6 +20,7 @@ from labelpick.functions.random import uniform_array
 from labelpick.functions.vectors import argmax, bce_rows, doubles, kl_rows, one_hot, over_threshold, sigmoid
 from labelpick.operators.partials import collect_sums
 from labelpick.session import ship
+from labelpick.sources.tables import dimension
 
 HIDDEN = (256, 128)
 DROPOUT_DRAW = 900_003
@@ -193,7 +194,7 @@ def fit_supervised(rows: DataFrame, n_classes: int, task: str = "multi", epochs:
                    keep: str = "last", init: list[np.ndarray] | None = None) -> Training:
     """Train on all labels (row_id, embedding, label); one full-batch step per epoch."""
     data, loss, adam = with_target(rows, task, n_classes), task_loss(task), Adam(lr)
-    dim = rows.select(F.size("embedding").alias("d")).first()["d"]
+    dim = dimension(rows)
 
     def epoch(params, number):
         value, grads = gradient(data, params, loss, pos_weight, dropout, number, seed)

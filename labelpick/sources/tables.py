@@ -23,6 +23,16 @@ def as_points(df: DataFrame, id_col: str = "row_id", vec_col: str = "embedding",
     return df.select(*cols, *extra)
 
 
+def dimension(points: DataFrame) -> int:
+    """Length of the embeddings, read from one row; longer or shorter ones fail where they are used."""
+    row = points.select(F.size("embedding").alias("d"), F.col("embedding").isNull().alias("missing")).first()
+    if row is None:
+        raise ValueError("no rows")
+    if row["missing"]:
+        raise ValueError("embedding is null")
+    return row["d"]
+
+
 def partition_data(df: DataFrame, split_col: str, parts: tuple[str, ...] = SPLITS) -> dict[str, DataFrame]:
     """One lazy DataFrame per split; on a table written by ``write_splits`` each reads only its own folder."""
     return {part: df.filter(F.col(split_col) == part) for part in parts}

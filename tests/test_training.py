@@ -223,6 +223,16 @@ def test_mixmatch_with_all_but_one_row_labeled(make_points, blobs):
         mixmatch.fit_mixmatch(p, p.filter("row_id < 0"), 3, "single", epochs=1)
 
 
+def test_missing_input_is_a_clear_error(spark, make_points):
+    empty = spark.createDataFrame([], "row_id long, embedding array<double>, label int")
+    with pytest.raises(ValueError, match="no rows"):
+        nn.fit_supervised(empty, 2, "single", epochs=1)
+    with pytest.raises(ValueError, match="embedding is null"):
+        heads.fit_heads(spark.createDataFrame([(1, None)], "row_id long, embedding array<double>"), 2, epochs=1)
+    with pytest.raises(ValueError, match="unknown task"):
+        nn.predict(make_points([[1.0]]), nn.init_classifier(1, 2), "other")
+
+
 def test_scaling_gives_null_for_constant_dimensions(make_points):
     p = make_points([[1.0, 5.0, 2.0], [3.0, 5.0, 4.0], [5.0, 5.0, 9.0]])
     std = [r["embedding"] for r in scale.standardize(p).orderBy("row_id").collect()]
