@@ -171,8 +171,9 @@ def fit_mixmatch(points: DataFrame, selected: DataFrame, n_classes: int, task: s
                 plans.close()  # drops the layout of the epochs before
                 now = pairs.filter((F.col("epoch") >= number) & (F.col("epoch") < number + chunk))
                 laid_out = with_partner(batch_rows(lab, unl, now), seed)
-                # range order lets a step skip the row groups of other epochs
-                laid_out = laid_out.repartitionByRange("epoch", "batch").sortWithinPartitions("epoch", "batch")
+                if chunk > 1 or step_batches < n_lab:
+                    # range order lets a step skip the row groups of other steps; a step that reads all needs none
+                    laid_out = laid_out.repartitionByRange("epoch", "batch").sortWithinPartitions("epoch", "batch")
                 plan = plans.enter_context(scratch_tables(spark))(laid_out, "mixing_plan")
             losses = []
             for start in range(0, n_lab, step_batches):
