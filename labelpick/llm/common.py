@@ -13,12 +13,21 @@ from pyspark.sql import functions as F
 
 from labelpick.session import materialize
 
-__all__ = ["crc_bucket", "documents", "file_text", "holder", "materialize", "slices", "text_bytes", "texts"]
+__all__ = ["crc_bucket", "documents", "file_text", "holder", "materialize", "slices", "text_bytes", "texts", "words_of"]
 
 # Largest vocabulary file that is shipped to the executors.
 FILE_BYTES_LIMIT = 64 * 1024 * 1024
 
 
+# A-Z to lower case, every other ASCII byte that is no letter or digit to a blank
+TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    """Words of lower-case letters, digits and non-ASCII characters."""
+    return raw.translate(TABLE).split()
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

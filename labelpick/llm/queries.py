@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpick.llm import secrets, token_counts
+from labelpick.llm import decontaminate, secrets, token_counts
 from labelpick.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op5_token_counts(spark, folder):
     return token_counts.count_tokens(documents(spark, folder), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+@query("op7_decontaminate")
+def op7_decontaminate(spark, folder):
+    return decontaminate.scan_benchmark(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"),
+                                        window=10)
+
+
 @query("op9_secrets")
 def op9_secrets(spark, folder):
     return secrets.scan_secrets(documents(spark, folder))
