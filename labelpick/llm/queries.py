@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpick.llm import decontaminate, secrets, token_counts
+from labelpick.llm import decontaminate, line_dedup, secrets, token_counts, toxicity
 from labelpick.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_line_dedup")
+def op3_line_dedup(spark, folder):
+    return line_dedup.line_report(documents(spark, folder), min_docs=10, min_chars=1)
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark, folder):
     return token_counts.count_tokens(documents(spark, folder), tokenizer_path("word_bpe_49k.json"), limit=2048)
@@ -39,6 +44,12 @@ def op7_decontaminate(spark, folder):
                                         window=10)
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark, folder):
+    return toxicity.score_toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"),
+                                   threshold=0.3)
+
+
 @query("op9_secrets")
 def op9_secrets(spark, folder):
     return secrets.scan_secrets(documents(spark, folder))
