@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpick.llm import decontaminate, line_dedup, secrets, token_counts, toxicity
+from labelpick.llm import bpe, decontaminate, line_dedup, secrets, token_counts, toxicity
 from labelpick.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op8_toxicity(spark, folder):
 @query("op9_secrets")
 def op9_secrets(spark, folder):
     return secrets.scan_secrets(documents(spark, folder))
+
+
+@query("op10_bpe")
+def op10_bpe(spark, folder):
+    return bpe.round_trip(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"))
