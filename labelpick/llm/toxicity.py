@@ -32,10 +32,14 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD
                 np.uint64)
 
 
-def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all subwords of all words, and where each word's begin (one more than words)."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    parts = [_subwords(words[i:i + at_once]) for i in range(0, len(words), at_once)]
+    sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(starts) for _, starts in parts)])
+    return np.concatenate([np.zeros(0, np.int32), *(codes for codes, _ in parts)]), np.cumsum(sizes)
+
+
+def _subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buffer = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
     size = np.array([len(w) + 2 for w in words], np.int64)
     end = np.cumsum(size)
@@ -60,7 +64,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     starts = np.searchsorted(owner[order], np.arange(len(words) + 1))
-    return np.concatenate(codes)[order].astype(np.int64), starts
+    return np.concatenate(codes)[order].astype(np.int32), starts
 
 
 def spread(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +92,18 @@ class Model:
                         np.add.reduceat(self.weight[codes], starts[:-1]).tolist()))
 
 
-def train(rows: list[set[bytes]], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.5,
+def train(coded: list[np.ndarray], vocabulary: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.5,
           rare: float = 0.1, seed: int = 0) -> Model:
-    """Fit embeddings and softmax together. ``rows`` holds the distinct words of each document."""
-    if len(rows) == 0:
+    """Fit embeddings and softmax together. ``coded`` holds the numbers of the distinct words of each document."""
+    n_rows = len(coded)
+    if n_rows == 0:
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0)
-    vocabulary: dict[bytes, int] = {}
-    coded = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in sorted(r)), np.int64, len(r)) for r in rows]
     doc_starts = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
-    doc_words = np.concatenate(coded) if coded else np.zeros(0, np.int64)
-    codes, word_starts = subwords(list(vocabulary))
+    doc_words = np.concatenate(coded)
+    codes, word_starts = subwords(vocabulary)
     # share of documents of each bucket, from word document counts (an upper bound where words of a document share it)
     seen = np.bincount(doc_words, minlength=len(vocabulary))
-    share = np.bincount(codes, np.repeat(seen, np.diff(word_starts)), BUCKETS) / len(rows)
+    share = np.bincount(codes, np.repeat(seen, np.diff(word_starts)), BUCKETS) / n_rows
     weight = rare / (rare + share)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM))
@@ -109,10 +112,10 @@ def train(rows: list[set[bytes]], labels: np.ndarray, epochs: int = 6, batch: in
     bias = np.log(prior)
     past, past_soft, past_bias = np.full(BUCKETS, 1e-8), np.full(soft.shape, 1e-8), np.full(2, 1e-8)
     word_weight = np.add.reduceat(weight[codes], word_starts[:-1]) if len(vocabulary) else np.zeros(0)
-    total = np.maximum(np.bincount(np.repeat(np.arange(len(rows)), np.diff(doc_starts)), word_weight[doc_words],
-                                   len(rows)), 1e-12)
+    total = np.maximum(np.bincount(np.repeat(np.arange(n_rows), np.diff(doc_starts)), word_weight[doc_words],
+                                   n_rows), 1e-12)
     for epoch in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(n_rows)
         for first in range(0, len(order), batch):
             some = order[first:first + batch]
             at, owner = spread(doc_starts, some)
@@ -173,12 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, held_of:
             .groupBy("doc_id", "label").agg(F.min("text").alias("text")))
 
     def learn(batches):
-        found = []
-        for batch in batches:
-            found += zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(),
-                         [set(words_of(raw)) for raw in text_bytes(batch.column("text"))])
+        found, seen = [], {}
+        for batch in slices(batches, "text", SLICE_BYTES):
+            for doc, label, raw in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(),
+                                       text_bytes(batch.column("text"))):
+                words = set(words_of(raw))
+                found.append((doc, label, np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))))
+        # words and documents in an order that doesn't depend on how rows arrive
+        names = sorted(seen)
+        number = np.empty(len(names), np.int32)
+        number[[seen[w] for w in names]] = np.arange(len(names))
         found.sort(key=lambda row: row[0])
-        model = train([words for _, _, words in found], np.array([label for _, label, _ in found], np.int64), **options)
+        model = train([np.sort(number[words]) for _, _, words in found], names,
+                      np.array([label for _, label, _ in found], np.int64), **options)
         sink = io.BytesIO()
         np.savez(sink, worth=model.worth, weight=model.weight, bias=model.bias)
         yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], ["model"])
