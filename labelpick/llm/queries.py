@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpick.llm import bpe, decontaminate, line_dedup, secrets, token_counts, toxicity
+from labelpick.llm import bpe, decontaminate, jaccard_join, line_dedup, secrets, token_counts, toxicity
 from labelpick.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op3_line_dedup(spark, folder):
     return line_dedup.line_report(documents(spark, folder), min_docs=10, min_chars=1)
 
 
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark, folder):
+    return jaccard_join.near_duplicates(documents(spark, folder), n=5, threshold=0.8)
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark, folder):
     return token_counts.count_tokens(documents(spark, folder), tokenizer_path("word_bpe_49k.json"), limit=2048)
