@@ -27,11 +27,11 @@ from labelpick.llm.blocks import numbered, pack, unpack
 from labelpick.llm.common import file_text, holder, slices, texts
 from labelpick.session import scratch_path
 
-BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 48 << 20
+BLOCK_BYTES = 6 << 20
+SHARD_BYTES = 24 << 20
 LEAST_SHARDS = 16
 SEPARATOR = b"\xff"  # no byte of UTF-8 text
-CHUNK_UNITS = 400_000
+CHUNK_UNITS = 100_000
 
 # What the split may rely on. A space-like character that follows another character always starts a new
 # word; so does a character that is no letter behind a letter. The second rule is used only for texts all of whose
@@ -87,11 +87,11 @@ def _word_blocks(docs: DataFrame, text_col: str, special: list[str], shards: int
             found, sizes = [], []
             for text in texts(batch.column(text_col)):
                 words = split_words(text, special)
-                found.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.int64, len(words)))
+                found.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.int32, len(words)))
                 sizes.append(len(words))
-            numbers = np.concatenate(found) if found else np.zeros(0, np.int64)
+            numbers = np.concatenate(found) if found else np.zeros(0, np.int32)
             order = np.argsort(-np.bincount(numbers, minlength=len(local)), kind="stable")
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
             words = [w.encode() for w in local]
             words = [words[i] for i in order.tolist()]
@@ -169,7 +169,7 @@ def _block_ids(block: pa.Table, answers: pa.Table) -> list[bytes]:
     flat = np.zeros(starts[-1], "<u4")
     for mine, ids in held.values():
         flat[gather(starts, mine)] = ids
-    units = expand(block["units"][0].as_py()).astype(np.int64)
+    units = expand(block["units"][0].as_py())
     n_units = unpack(block["pack"][0].as_py())["n_units"].to_pylist()
     out, start, at = [], 0, 0
     while at < len(n_units):  # some documents at a time, so that positions stay small
@@ -234,7 +234,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_c
 
     def run(batches):
         piece = table.value.__getitem__
-        for batch in slices(batches, ids_col, 16 << 20):
+        for batch in slices(batches, ids_col, 4 << 20):
             out = [b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
                    for ids in batch.column(ids_col).to_pylist()]
             arrays = dict(zip(columns, batch.columns)) | {text_col: pa.array(out, pa.string())}
