@@ -8,15 +8,24 @@ again. As the table is stored, a repeated task finds the same blocks.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labelpick.llm.common import materialize, slices
+from labelpick.session import scratch_path
 
 BLOCK_BYTES = 8 << 20
+# Text per shard of the words of all blocks.
+SHARD_BYTES = 24 << 20
+LEAST_SHARDS = 16
+SEPARATOR = b"\xff"  # no byte of UTF-8 text
 
 
 def pack(batch: pa.RecordBatch) -> bytes:
@@ -51,3 +60,59 @@ def write_blocks(docs: DataFrame, encode: Callable, extra: str, name: str, text_
                 ["block", "pack", *names])
 
     return materialize(docs.mapInArrow(run, schema), name)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte plane by byte plane."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def expand(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
+def gather(starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Positions of the entries of the given rows, one after the other."""
+    size = starts[rows + 1] - starts[rows]
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[rows] - ends + size, size)
+
+
+def word_shards(docs: DataFrame, text_col: str) -> int:
+    """Into how many shards the words of the blocks are dealt, so that a shard's size does not grow with the input."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(-(-total // SHARD_BYTES), LEAST_SHARDS)
+
+
+def send_words(words: list[bytes], shards: int) -> tuple[np.ndarray, list[dict]]:
+    """The shard of each word, and one message per shard that holds its words in their order."""
+    import zstandard
+
+    shard = np.fromiter((zlib.crc32(w) % shards for w in words), np.int64, len(words))
+    squash, out = zstandard.ZstdCompressor(level=6), []
+    for s in np.unique(shard).tolist():
+        mine = SEPARATOR.join([words[i] for i in np.flatnonzero(shard == s).tolist()])
+        out.append({"shard": s, "words": squash.compress(mine)})
+    return shard, out
+
+
+def received_words(message: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(message).split(SEPARATOR)
+
+
+def store_by_block(blocks: DataFrame, name: str) -> DataFrame:
+    """Store a table bucketed by its block numbers, so that it can be grouped by block without a shuffle."""
+    spark = blocks.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    (blocks.write.format("parquet").option("path", scratch_path(spark, table)).bucketBy(buckets, "block")
+     .saveAsTable(table))
+    return spark.table(table)

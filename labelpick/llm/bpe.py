@@ -14,8 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from labelpick.llm.blocks import numbered, pack, unpack
+from labelpick.llm.blocks import (expand, gather, numbered, pack, received_words, send_words, squeeze, store_by_block,
+                                  unpack, word_shards)
 from labelpick.llm.common import file_text, holder, slices, texts
-from labelpick.session import scratch_path
 
 BLOCK_BYTES = 6 << 20
-SHARD_BYTES = 24 << 20
-LEAST_SHARDS = 16
-SEPARATOR = b"\xff"  # no byte of UTF-8 text
 CHUNK_UNITS = 100_000
 
 # What the split may rely on. A space-like character that follows another character always starts a new
@@ -60,28 +55,10 @@ def split_words(text: str, special: list[str]) -> list[str]:
     return [w for w in CAREFUL.split(text) if w]
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """32-bit numbers, compressed byte plane by byte plane."""
-    import zstandard
-
-    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
-
-
-def expand(data: bytes) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
-
-
 def _word_blocks(docs: DataFrame, text_col: str, special: list[str], shards: int) -> DataFrame:
     """Store (block, pack, units, shard_of, messages), bucketed by block. The text itself is not kept."""
 
     def run(batches):
-        import zstandard
-
-        squash = zstandard.ZstdCompressor(level=6)
         for block, batch in numbered(batches, text_col, BLOCK_BYTES):
             local: dict[str, int] = {}
             found, sizes = [], []
@@ -95,11 +72,7 @@ def _word_blocks(docs: DataFrame, text_col: str, special: list[str], shards: int
             rank[order] = np.arange(len(order))
             words = [w.encode() for w in local]
             words = [words[i] for i in order.tolist()]
-            shard = np.fromiter((zlib.crc32(w) % shards for w in words), np.int64, len(words))
-            messages = []
-            for s in np.unique(shard).tolist():
-                mine = SEPARATOR.join([words[i] for i in np.flatnonzero(shard == s).tolist()])
-                messages.append({"shard": s, "words": squash.compress(mine)})
+            shard, messages = send_words(words, shards)
             rows = batch.drop_columns([text_col]).append_column("n_units", pa.array(sizes, pa.int64()))
             kinds = pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary())]))
             yield pa.RecordBatch.from_arrays(
@@ -107,28 +80,22 @@ def _word_blocks(docs: DataFrame, text_col: str, special: list[str], shards: int
                  pa.array([squeeze(rank[numbers])], pa.binary()), pa.array([squeeze(shard)], pa.binary()),
                  pa.array([messages], kinds)], ["block", "pack", "units", "shard_of", "messages"])
 
-    spark = docs.sparkSession
     blocks = docs.mapInArrow(run, "block long, pack binary, units binary, shard_of binary, "
                                   "messages array<struct<shard int, words binary>>")
-    name = f"word_blocks_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    (blocks.write.format("parquet").option("path", scratch_path(spark, name)).bucketBy(buckets, "block")
-     .saveAsTable(name))
-    return spark.table(name)
+    return store_by_block(blocks, "word_blocks")
 
 
 def _answers(messages: DataFrame, file) -> DataFrame:
     """(block, shard, sizes, ids) for (block, shard, words): each distinct word of a shard is encoded once."""
 
     def answer(key, table):
-        import zstandard
         from tokenizers import Tokenizer
 
         state = holder("bpe")
         if state.get("of") != hash(file.value):
             state.update(of=hash(file.value), tokenizer=Tokenizer.from_str(file.value))
-        tokenizer, open_ = state["tokenizer"], zstandard.ZstdDecompressor()
-        sent = [open_.decompress(x).split(SEPARATOR) for x in table["words"].to_pylist()]
+        tokenizer = state["tokenizer"]
+        sent = [received_words(x) for x in table["words"].to_pylist()]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for words in sent for w in words))}
         names, sizes, parts = list(distinct), [], []
         for start in range(0, len(names), 50_000):
@@ -149,13 +116,6 @@ def _answers(messages: DataFrame, file) -> DataFrame:
     return messages.groupBy("shard").applyInArrow(answer, "block long, shard int, sizes binary, ids binary")
 
 
-def gather(starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Positions of the entries of the given rows, one after the other."""
-    size = starts[rows + 1] - starts[rows]
-    ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[rows] - ends + size, size)
-
-
 def _block_ids(block: pa.Table, answers: pa.Table) -> list[bytes]:
     """Ids of each document of a block as little-endian unsigned 32-bit numbers."""
     shard_of = expand(block["shard_of"][0].as_py())
@@ -198,8 +158,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     special = special_tokens(json.loads(file.value))
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row"),
                         docs[text_col].cast("string").alias("text"))
-    total = inner.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = _word_blocks(inner, "text", special, max(-(-total // SHARD_BYTES), LEAST_SHARDS))
+    blocks = _word_blocks(inner, "text", special, word_shards(inner, "text"))
     messages = blocks.select("block", F.explode("messages").alias("m")).select("block", "m.shard", "m.words")
     schema = StructType([inner.schema["row"], StructField("ids", BinaryType())])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpick.llm import bpe, decontaminate, jaccard_join, line_dedup, secrets, token_counts, toxicity
+from labelpick.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_scores, secrets, token_counts, toxicity
 from labelpick.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_lm_scores")
+def op1_lm_scores(spark, folder):
+    return lm_scores.score_documents(documents(spark, folder), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
 @query("op3_line_dedup")
 def op3_line_dedup(spark, folder):
     return line_dedup.line_report(documents(spark, folder), min_docs=10, min_chars=1)
