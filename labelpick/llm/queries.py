@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelpick.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_scores, secrets, token_counts, toxicity
+from labelpick.llm import (bpe, decontaminate, jaccard_join, line_dedup, lm_scores, preferences, secrets, token_counts,
+                           topk, toxicity)
 from labelpick.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,49 @@ def op1_lm_scores(spark, folder):
     return lm_scores.score_documents(documents(spark, folder), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+OP2_SQL = '''
+WITH conv AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+pair AS (SELECT a.conv_id AS pair_id, a.turns AS c, list_concat(a.turns[1:len(a.turns) - 1],
+    coalesce(b.turns[len(b.turns):], [])) AS r
+  FROM conv a LEFT JOIN conv b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+cut AS (SELECT *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])[1] - 1,
+    least(len(c), len(r))) AS n FROM pair),
+parts AS (SELECT pair_id, n, c[1:n] AS shared, c[n + 1:] AS c, r[n + 1:] AS r FROM cut),
+side AS (SELECT pair_id, 'c' AS side, unnest(c) AS t, generate_subscripts(c, 1) AS i FROM parts UNION ALL
+  SELECT pair_id, 'r', unnest(r), generate_subscripts(r, 1) FROM parts UNION ALL
+  SELECT pair_id, 's', unnest(shared), generate_subscripts(shared, 1) FROM parts),
+line AS (SELECT pair_id, side, i, t.role AS role, t.text AS text,
+    '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) AS line FROM side),
+placed AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY pair_id, side ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(role) + 13 AS start FROM line),
+text AS (SELECT pair_id, side, string_agg(line, '' ORDER BY i) AS text,
+    coalesce(string_agg(start || ':' || (start + length(text) + 11), ',' ORDER BY i) FILTER (role = 'assistant'), '') AS mask
+  FROM placed GROUP BY pair_id, side)
+SELECT p.pair_id, p.n AS n_common, coalesce(s.text, '') AS prompt, coalesce(c.text, '') AS chosen,
+  coalesce(r.text, '') AS rejected, coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM parts p LEFT JOIN text s ON s.pair_id = p.pair_id AND s.side = 's'
+LEFT JOIN text c ON c.pair_id = p.pair_id AND c.side = 'c' LEFT JOIN text r ON r.pair_id = p.pair_id AND r.side = 'r'
+'''
+
+OP6_SQL = '''
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+'''
+
+
+@query("op2_preferences", OP2_SQL)
+def op2_preferences(spark, folder):
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    return preferences.format_pairs(preferences.neighbour_pairs(turns))
+
+
 @query("op3_line_dedup")
 def op3_line_dedup(spark, folder):
     return line_dedup.line_report(documents(spark, folder), min_docs=10, min_chars=1)
@@ -48,6 +92,11 @@ def op5_token_counts(spark, folder):
     return token_counts.count_tokens(documents(spark, folder), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+@query("op6_topk", OP6_SQL)
+def op6_topk(spark, folder):
+    return topk.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), k=5, every=50)
+
+
 @query("op7_decontaminate")
 def op7_decontaminate(spark, folder):
     return decontaminate.scan_benchmark(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"),
