@@ -202,6 +202,18 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_c
     return encoded.mapInArrow(run, schema)
 
 
+def tokenize(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the text replaced by n_tokens, ids and lossless: whether the decoded ids give the text (null: empty)."""
+    keep = [c for c in docs.columns if c != text_col]
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), text.alias("text"),
+                       F.sha2(text.cast("binary"), 256).alias("of"))
+    done = decode(encode(rows, tokenizer_path), tokenizer_path)
+    return done.select(*[F.col("row")[c].alias(c) for c in keep],
+                       (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+                       (F.sha2(F.col("text").cast("binary"), 256) == F.col("of")).alias("lossless"))
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Repeated and null ids give one row each."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -266,7 +266,7 @@ class LineIndex:
         return part.mapInArrow(probe, part.schema).select("block", "number", "key")
 
 
-def _apply(blocks: DataFrame, index: LineIndex, text_col: str, finish, schema: str) -> DataFrame:
+def _apply(blocks: DataFrame, index: LineIndex, text_col: str, finish, schema: str, spare_copies: bool = False) -> DataFrame:
     """Bring the repeated keys back to their blocks and hand on (rows, n_lines, dropped, kept texts)."""
 
     def apply(key, block, repeated):
@@ -279,6 +279,8 @@ def _apply(blocks: DataFrame, index: LineIndex, text_col: str, finish, schema: s
             lines = raw.split(b"\n")
             total.append(len(lines))
             stay = [line for line, n in zip(lines, numbers) if n not in gone]
+            if spare_copies and all(n < 0 or n in gone for n in numbers):
+                stay = lines
             dropped.append(len(lines) - len(stay))
             kept.append(b"\n".join(stay))
         return finish(rows, total, dropped, kept)
@@ -312,10 +314,11 @@ def line_report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text",
-                        index: LineIndex | None = None) -> DataFrame:
+                        index: LineIndex | None = None, spare_copies: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts; all rows stay, texts without a change as they were.
 
-    ``index`` may hold other documents too; by default it is built from ``docs``.
+    ``index`` may hold other documents too; by default it is built from ``docs``. With ``spare_copies`` a text of which no
+    line with a key would stay is left whole: it is a copy of other documents, of which a document-level step keeps one.
     """
     inner = docs.select(F.struct("*").alias("row"), docs[text_col].cast("string").alias("text"))
     chars = index.min_chars if index else min_chars
@@ -325,5 +328,6 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         texts = [k.decode() if d else old for k, d, old in zip(kept, dropped, rows["text"].to_pylist())]
         return pa.table({"row": rows["row"], "text": pa.array(texts, pa.string())})
 
-    done = _apply(blocks, index or LineIndex.from_blocks(blocks, min_docs, chars), "text", finish, inner.schema)
+    done = _apply(blocks, index or LineIndex.from_blocks(blocks, min_docs, chars), "text", finish, inner.schema,
+                  spare_copies)
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
