@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from labelpick.llm.blocks import (expand, gather, numbered, pack, received_words, send_words, squeeze, store_by_block,
                                   unpack, word_shards)
-from labelpick.llm.common import file_text, holder, slices, texts
+from labelpick.llm.common import apart, file_text, holder, slices, texts
 
 BLOCK_BYTES = 6 << 20
 CHUNK_UNITS = 100_000
@@ -156,8 +156,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     spark = docs.sparkSession
     file = file_text(spark, tokenizer_path)
     special = special_tokens(json.loads(file.value))
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row"),
-                        docs[text_col].cast("string").alias("text"))
+    inner = apart(docs, text_col)
     blocks = _word_blocks(inner, "text", special, word_shards(inner, "text"))
     messages = blocks.select("block", F.explode("messages").alias("m")).select("block", "m.shard", "m.words")
     schema = StructType([inner.schema["row"], StructField("ids", BinaryType())])

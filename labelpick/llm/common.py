@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from labelpick.session import materialize
 
-__all__ = ["crc_bucket", "documents", "file_text", "holder", "materialize", "slices", "text_bytes", "texts", "words_of"]
+__all__ = ["apart", "crc_bucket", "documents", "file_text", "holder", "materialize", "slices", "text_bytes", "texts",
+           "together", "words_of"]
 
 # Largest vocabulary file that is shipped to the executors.
 FILE_BYTES_LIMIT = 64 * 1024 * 1024
@@ -38,6 +39,17 @@ def crc_bucket(column: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(value.cast("string"), F.lit(""))), F.lit(n))
 
 
+def apart(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): all other columns as one struct, so that their names can't clash with those of an operator."""
+    others = [docs[c] for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), docs[text_col].cast("string").alias("text"))
+
+
+def together(done: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The columns that ``apart`` put away, with the text as it is now."""
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns])
+
+
 def file_text(spark: SparkSession, path: str) -> Broadcast:
     """Ship a vocabulary file from the driver to the executors, after checking its size."""
     with open(path, encoding="utf-8") as file:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpick.llm.common import materialize, slices, text_bytes, words_of
+from labelpick.llm.common import apart, materialize, slices, text_bytes, together, words_of
 
 WINDOW = 10
 SHARD_WORDS = 100_000
@@ -262,7 +262,7 @@ def remove_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, mi
     Hit spans of at least ``min_span`` words are cut from the text. A document of which more than ``max_coverage`` of the
     words are hit is dropped as a whole. Others are returned as they are, also those with null or empty texts.
     """
-    inner = docs.select(F.struct("*").alias("row"), docs[text_col].cast("string").alias("text"))
+    inner = apart(docs, text_col)
 
     def finish(batch, n_words, spans, found):
         keep, out = [], []
@@ -277,4 +277,4 @@ def remove_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, mi
 
     schema = inner.schema
     done = _find(inner, items, window, item_id, item_text, finish, schema)
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return together(done, docs.columns, text_col)

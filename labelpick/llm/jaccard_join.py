@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelpick.llm.blocks import numbered
-from labelpick.llm.common import holder, materialize, text_bytes, words_of
+from labelpick.llm.common import apart, holder, materialize, text_bytes, together, words_of
 from labelpick.llm.components import components
 
 BANDS, ROWS = 48, 5
@@ -292,12 +292,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
 def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id, of these the first one read."""
-    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("doc_id"),
-                       docs[text_col].cast("string").alias("text"))
+    inner = apart(docs, text_col)
+    rows = inner.select("row", inner["row"][id_col].cast("long").alias("doc_id"), "text")
     signed, classes = _classes(rows, n, threshold, tolerance)
     best = (signed.select("uid", "doc_id").join(classes.select("uid", "group"), "uid").groupBy("group")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("best"))
             .select(F.col("best.uid").alias("uid")))
     stay = signed.where("digest is null").select("uid").unionAll(best)
-    kept = signed.select("uid", "row").join(stay, "uid")
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    kept = signed.select("uid", "row", "text").join(stay, "uid")
+    return together(kept, docs.columns, text_col)

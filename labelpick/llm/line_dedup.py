@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelpick.llm.blocks import unpack, write_blocks
-from labelpick.llm.common import materialize, text_bytes
+from labelpick.llm.common import apart, materialize, text_bytes, together
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -320,7 +320,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     ``index`` may hold other documents too; by default it is built from ``docs``. With ``spare_copies`` a text of which no
     line with a key would stay is left whole: it is a copy of other documents, of which a document-level step keeps one.
     """
-    inner = docs.select(F.struct("*").alias("row"), docs[text_col].cast("string").alias("text"))
+    inner = apart(docs, text_col)
     chars = index.min_chars if index else min_chars
     blocks = line_blocks(inner, "text", chars)
 
@@ -330,4 +330,4 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
     done = _apply(blocks, index or LineIndex.from_blocks(blocks, min_docs, chars), "text", finish, inner.schema,
                   spare_copies)
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return together(done, docs.columns, text_col)

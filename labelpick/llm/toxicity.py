@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpick.llm.common import crc_bucket, holder, slices, text_bytes, words_of
+from labelpick.llm.common import apart, crc_bucket, holder, slices, text_bytes, together, words_of
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -235,6 +235,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_co
                text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that reach ``threshold``."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    inner = docs.select(F.struct("*").alias("row"), docs[text_col].cast("string").alias("text"))
-    kept = with_scores(inner, model, "text", "score").where(F.col("score") < threshold)
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    kept = with_scores(apart(docs, text_col), model, "text", "score").where(F.col("score") < threshold)
+    return together(kept, docs.columns, text_col)
