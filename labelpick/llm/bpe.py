@@ -12,14 +12,16 @@ Decoding joins ids with the id-to-piece table, whose size is that of the vocabul
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from labelpick.llm.blocks import (expand, gather, numbered, pack, received_words, send_words, squeeze, store_by_block,
                                   unpack, word_shards)
@@ -98,8 +100,8 @@ def _answers(messages: DataFrame, file) -> DataFrame:
         sent = [received_words(x) for x in table["words"].to_pylist()]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for words in sent for w in words))}
         names, sizes, parts = list(distinct), [], []
-        for start in range(0, len(names), 50_000):
-            some = [w.decode() for w in names[start:start + 50_000]]
+        for start in range(0, len(names), 10_000):
+            some = [w.decode() for w in names[start:start + 10_000]]
             found = [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             sizes += map(len, found)
             parts.append(np.array([i for ids in found for i in ids], np.uint32))
@@ -146,29 +148,35 @@ def _block_ids(block: pa.Table, answers: pa.Table) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the text replaced by its ids: binary, little-endian unsigned 32-bit numbers.
-
-    Special strings inside texts are handled as the library does by default, none is added, nothing is cut or padded.
-    Null and empty texts have no ids. Rows are independent of each other, ids of documents may repeat or be null.
-    ``decode`` gives the text back.
-    """
-    spark = docs.sparkSession
-    file = file_text(spark, tokenizer_path)
-    special = special_tokens(json.loads(file.value))
+def _encoded(docs: DataFrame, file, special: list[str], text_col: str, finish, schema) -> DataFrame:
+    """Encode all texts; ``finish(rows, ids)`` makes a block's result from its packed rows and the ids of each."""
     inner = apart(docs, text_col)
     blocks = _word_blocks(inner, "text", special, word_shards(inner, "text"))
     messages = blocks.select("block", F.explode("messages").alias("m")).select("block", "m.shard", "m.words")
-    schema = StructType([inner.schema["row"], StructField("ids", BinaryType())])
 
     def put_together(key, block, answers):
         if not block.num_rows:
             raise ValueError("an answer to no block")
-        rows = unpack(block["pack"][0].as_py())
-        return pa.table({"row": rows["row"], "ids": pa.array(_block_ids(block, answers), pa.binary())})
+        return finish(unpack(block["pack"][0].as_py()), _block_ids(block, answers))
 
-    done = (blocks.select("block", "pack", "units", "shard_of").groupBy("block")
+    return (blocks.select("block", "pack", "units", "shard_of").groupBy("block")
             .cogroup(_answers(messages, file).groupBy("block")).applyInArrow(put_together, schema))
+
+
+def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with the text replaced by its ids: binary, little-endian unsigned 32-bit numbers.
+
+    Special strings inside texts are handled as the library does by default, none is added, nothing is cut or padded.
+    Null and empty texts have no ids. Rows are independent of each other, ids of documents may repeat or be null.
+    ``decode`` gives the text back.
+    """
+    file = file_text(docs.sparkSession, tokenizer_path)
+    schema = StructType([apart(docs, text_col).schema["row"], StructField("ids", BinaryType())])
+
+    def finish(rows, ids):
+        return pa.table({"row": rows["row"], "ids": pa.array(ids, pa.binary())})
+
+    done = _encoded(docs, file, special_tokens(json.loads(file.value)), text_col, finish, schema)
     return done.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != text_col], F.col("ids").alias(ids_col))
 
 
@@ -183,6 +191,12 @@ def pieces(vocabulary: dict) -> list[bytes]:
             for i in range(max(ids) + 1)]
 
 
+def decoded(ids: bytes, table: list[bytes]) -> bytes:
+    """UTF-8 of the pieces of some ids."""
+    joined = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return joined.decode("utf-8", "replace").encode()
+
+
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with a text column of the decoded ids, special tokens included; null ids give the empty text."""
     file = file_text(encoded.sparkSession, tokenizer_path)
@@ -191,32 +205,51 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_c
     schema = encoded.withColumn(text_col, F.lit("")).schema
 
     def run(batches):
-        piece = table.value.__getitem__
         for batch in slices(batches, ids_col, 4 << 20):
-            out = [b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
-                   for ids in batch.column(ids_col).to_pylist()]
-            arrays = dict(zip(columns, batch.columns)) | {text_col: pa.array(out, pa.string())}
+            out = pa.array([decoded(ids or b"", table.value) for ids in batch.column(ids_col).to_pylist()], pa.binary())
+            arrays = dict(zip(columns, batch.columns)) | {text_col: out.cast(pa.string())}
             yield pa.RecordBatch.from_arrays([arrays[f.name] for f in schema], [f.name for f in schema])
 
     return encoded.mapInArrow(run, schema)
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text replaced by n_tokens, ids and lossless: whether the decoded ids give the text (null: empty)."""
-    keep = [c for c in docs.columns if c != text_col]
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), text.alias("text"),
-                       F.sha2(text.cast("binary"), 256).alias("of"))
-    done = decode(encode(rows, tokenizer_path), tokenizer_path)
-    return done.select(*[F.col("row")[c].alias(c) for c in keep],
-                       (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-                       (F.sha2(F.col("text").cast("binary"), 256) == F.col("of")).alias("lossless"))
-
-
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Repeated and null ids give one row each."""
+    file = file_text(docs.sparkSession, tokenizer_path)
+    vocabulary = json.loads(file.value)
+    table = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary))
+
+    def finish(rows, ids):
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return pa.table({"doc_id": pc.struct_field(rows["row"], "doc_id"),
+                         "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
+                         "ids_sha256": pa.array([sha(i) for i in ids], pa.string()),
+                         "decoded_sha256": pa.array([sha(decoded(i, table.value)) for i in ids], pa.string())})
+
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    done = decode(encode(rows, tokenizer_path), tokenizer_path)
-    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return _encoded(rows, file, special_tokens(vocabulary), "text", finish,
+                    "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the text replaced by n_tokens, ids and lossless: whether the decoded ids give the text (null: empty)."""
+    file = file_text(docs.sparkSession, tokenizer_path)
+    vocabulary = json.loads(file.value)
+    table = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    others = [docs[c] for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), F.sha2(text.cast("binary"), 256).alias("of"),
+                       text.alias("text"))
+    inner = apart(rows, "text")
+    schema = StructType([inner.schema["row"], StructField("n_tokens", LongType()), StructField("ids", BinaryType()),
+                         StructField("lossless", BooleanType())])
+
+    def finish(rows, ids):
+        of = pc.struct_field(rows["row"], "of").to_pylist()
+        same = [hashlib.sha256(decoded(i, table.value)).hexdigest() == x for i, x in zip(ids, of)]
+        return pa.table({"row": rows["row"], "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
+                         "ids": pa.array(ids, pa.binary()), "lossless": pa.array(same, pa.bool_())})
+
+    done = _encoded(rows, file, special_tokens(vocabulary), "text", finish, schema)
+    return done.select(*[F.col("row.row")[c].alias(c) for c in docs.columns if c != text_col], "n_tokens", "ids",
+                       "lossless")
