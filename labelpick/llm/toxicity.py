@@ -92,7 +92,7 @@ class Model:
                         np.add.reduceat(self.weight[codes], starts[:-1]).tolist()))
 
 
-def train(coded: list[np.ndarray], vocabulary: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.5,
+def train(coded: list[np.ndarray], vocabulary: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.5,
           rare: float = 0.1, seed: int = 0) -> Model:
     """Fit embeddings and softmax together. ``coded`` holds the numbers of the distinct words of each document."""
     n_rows = len(coded)
@@ -194,6 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, held_of:
         yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], ["model"])
 
     stored = rows.coalesce(1).mapInArrow(learn, "model binary").collect()
+    if not stored:
+        return train([], [], np.zeros(0, np.int64))
     with np.load(io.BytesIO(bytes(stored[0].model))) as data:
         return Model(data["worth"], data["weight"], float(data["bias"]))
 
