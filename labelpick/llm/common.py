@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -60,9 +61,17 @@ def file_text(spark: SparkSession, path: str) -> Broadcast:
 
 
 def holder(name: str) -> dict:
-    """A dict that lives as long as the Python worker, for caches that several tasks share."""
+    """A dict that lives as long as the Python worker, for caches that several tasks share.
+
+    A worker holds the caches of one operator at a time; those of the one before are let go.
+    """
     module = sys.modules.setdefault("labelpick_worker_state", types.ModuleType("labelpick_worker_state"))
-    return module.__dict__.setdefault(name, {})
+    held = module.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return held.setdefault(name, {})
 
 
 def texts(column: pa.Array) -> list[str]:
