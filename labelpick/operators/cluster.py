@@ -22,13 +22,16 @@ from labelpick.session import check_model_size, scratch_tables, ship
 from labelpick.sources.tables import dimension
 
 INIT_DRAW = 900_002
+MAX_PASSES = 300
 
 
 @dataclass
 class ClusterFit:
+    """``cost`` is that of the returned centers; ``converged`` is false if the limit of passes ended the fit."""
     centroids: np.ndarray
     cost: float
     n_iter: int
+    converged: bool = False
 
 
 def centroid_table(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
@@ -48,7 +51,7 @@ def _matrix(rows) -> np.ndarray:
 def _first_by(points: DataFrame, n: int, *order) -> np.ndarray:
     if n < 1:
         raise ValueError("n_clusters must be at least 1")
-    check_model_size(n, "initial centroids")
+    check_model_size(n * dimension(points), "initial centroids")
     rows = points.orderBy(*order).select("embedding").limit(n).collect()
     if len(rows) < n:
         raise ValueError(f"n_clusters asks for {n} centers but there are only {len(rows)} rows")
@@ -143,7 +146,7 @@ def means_by_key(rows: DataFrame, n_keys: int, key: str = "label") -> np.ndarray
     return got["sum"] / np.maximum(got["n"], 1.0)[:, None]
 
 
-def lloyd(points: DataFrame, init: np.ndarray, max_iter: int = 20, tol: float = 0.0) -> ClusterFit:
+def lloyd(points: DataFrame, init: np.ndarray, max_iter: int = MAX_PASSES, tol: float = 0.0) -> ClusterFit:
     """Lloyd's algorithm from fixed centers. An empty cluster keeps its center.
 
     ``init`` may hold several sets of centers (restarts, K, dim): all restarts advance in the same pass over the data
@@ -169,10 +172,10 @@ def lloyd(points: DataFrame, init: np.ndarray, max_iter: int = 20, tol: float =
                 acc["cost"][s] += (d * d).sum()
 
         got = collect_sums(vectors, shapes, fold)
-        shared.unpersist()
+        shared.destroy()
         return got
 
-    done = 0
+    done, shift, converged = 0, np.inf, False
     for done in range(1, max_iter + 1):
         got = one_pass(centers)
         counts = got["n"][:, :, None]
@@ -182,23 +185,24 @@ def lloyd(points: DataFrame, init: np.ndarray, max_iter: int = 20, tol: float =
         mean = got["sum"][0].sum(axis=0) / max(n_rows, 1.0)
         variance = max(got["square"][0] / max(n_rows, 1.0) - (mean * mean).sum(), 0.0) / dim
         centers = moved
-        if tol > 0 and shift <= tol * variance or shift == 0.0:
+        converged = bool(tol > 0 and shift <= tol * variance or shift == 0.0)
+        if converged:
             break
-    if n_sets == 1:
-        return ClusterFit(centers[0], float("nan") if not done else float(got["cost"][0]), done)
-    cost = one_pass(centers)["cost"]
+    # centers that no longer move have the cost of the last pass
+    cost = got["cost"] if shift == 0.0 else one_pass(centers)["cost"]
     best = int(cost.argmin())
-    return ClusterFit(centers[best], float(cost[best]), done)
+    return ClusterFit(centers[best], float(cost[best]), done, converged)
 
 
-def kmeans_mllib(points: DataFrame, n_clusters: int, n_init: int = 1, max_iter: int = 20, tol: float = 1e-4,
+def kmeans_mllib(points: DataFrame, n_clusters: int, n_init: int = 1, max_iter: int = MAX_PASSES, tol: float = 1e-4,
                  seed: int = 0) -> ClusterFit:
     """MLlib K-means with its parallel seeding, ``n_init`` times; the run with the lowest cost is kept."""
     data = points.select(array_to_vector(doubles("embedding")).alias("features")).persist()
     best = None
     for i in range(n_init):
         model = KMeans(k=n_clusters, maxIter=max_iter, tol=tol, seed=seed + i).fit(data)
-        fit = ClusterFit(np.array(model.clusterCenters()), model.summary.trainingCost, model.summary.numIter)
+        fit = ClusterFit(np.array(model.clusterCenters()), model.summary.trainingCost, model.summary.numIter,
+                         model.summary.numIter < max_iter)
         best = fit if best is None or fit.cost < best.cost else best
     data.unpersist()
     return best
@@ -214,13 +218,14 @@ def memberships(x: np.ndarray, centers: np.ndarray, fuzzifier: float = 2.0) -> n
     return weight / weight.sum(axis=1, keepdims=True)
 
 
-def fuzzy_cmeans(points: DataFrame, init: np.ndarray, max_iter: int = 20, tol: float = 0.0,
+def fuzzy_cmeans(points: DataFrame, init: np.ndarray, max_iter: int = MAX_PASSES, tol: float = 0.0,
                  fuzzifier: float = 2.0) -> ClusterFit:
     """Bezdek's fuzzy C-means from fixed centers; stops when no center entry moves by more than ``tol``."""
     centers = np.array(init, float)
     k, dim = centers.shape
-    vectors, done, cost = points.select("embedding"), 0, float("nan")
-    for done in range(1, max_iter + 1):
+    vectors, done, converged = points.select("embedding"), 0, False
+
+    def one_pass(centers):
         shared = ship(points.sparkSession, centers, "centroids")
 
         def fold(acc, batch, shared=shared):
@@ -232,38 +237,45 @@ def fuzzy_cmeans(points: DataFrame, init: np.ndarray, max_iter: int = 20, tol: f
                 acc["cost"] += (weight * K.squared_distances(x, shared.value)).sum()
 
         got = collect_sums(vectors, {"sum": (k, dim), "weight": (k,), "cost": (1,)}, fold)
-        shared.unpersist()
+        shared.destroy()
+        return got
+
+    for done in range(1, max_iter + 1):
+        got = one_pass(centers)
         weight = got["weight"][:, None]
         moved = np.where(weight > 0, got["sum"] / np.where(weight > 0, weight, 1.0), centers)
-        shift, centers, cost = np.abs(moved - centers).max(), moved, float(got["cost"][0])
-        if shift <= tol:
+        shift, centers = np.abs(moved - centers).max(), moved
+        converged = bool(shift <= tol)
+        if converged:
             break
-    return ClusterFit(centers, cost, done)
+    return ClusterFit(centers, float(one_pass(centers)["cost"][0]), done, converged)
 
 
-def minibatch_kmeans(points: DataFrame, init: np.ndarray, batch_size: int = 100, max_steps: int = 100,
+def minibatch_kmeans(points: DataFrame, init: np.ndarray, batch_size: int | None = None, max_passes: int = 100,
                      tol: float = 0.001, seed: int = 42) -> ClusterFit:
     """Mini-batch K-means: each step moves the centers by one seeded random batch, weighted by running counts.
 
-    The batches of all steps are drawn in one pass and kept in a scratch table, so a step reads only its own batch. The
-    steps walk through the shuffled rows and start over at the end. Stops when the squared shift per step falls to
-    ``tol`` times the mean variance of the batch.
+    All rows are dealt into batches once and kept in a scratch table, so a step reads only its own batch, and a pass
+    visits every row. By default a batch is a hundredth of the table, 10,000 rows at least, so the number of steps does
+    not grow with the table. Stops when the squared shift over a whole pass falls to ``tol`` times the mean variance.
     """
-    drawn = batches(points.select("row_id", "embedding"), batch_size, seed, first=max_steps)
+    rows = points.select("row_id", "embedding")
+    n_rows = rows.count()
+    size = batch_size or max(10_000, -(-n_rows // 100))
     with scratch_tables(points.sparkSession) as write:
-        drawn = write(drawn.repartitionByRange("batch").sortWithinPartitions("batch"), "minibatch")
-        return _minibatch_steps(drawn, np.array(init, float), max_steps, tol)
+        drawn = write(batches(rows, size, seed).repartitionByRange("batch").sortWithinPartitions("batch"), "minibatch")
+        return _minibatch_passes(drawn, np.array(init, float), -(-n_rows // size), max_passes, tol)
 
 
-def _minibatch_steps(drawn: DataFrame, centers: np.ndarray, max_steps: int, tol: float) -> ClusterFit:
+def _minibatch_passes(drawn: DataFrame, centers: np.ndarray, n_batches: int, max_passes: int, tol: float) -> ClusterFit:
     k, dim = centers.shape
-    n_batches = (drawn.agg(F.max("batch")).first()[0] or 0) + 1
-    seen, done, cost = np.zeros(k), 0, float("nan")
+    seen, done, converged = np.zeros(k), 0, False
     shapes = {"sum": (k, dim), "n": (k,), "cost": (1,), "square": (1,)}
-    for step in range(max_steps):
-        shared = ship(drawn.sparkSession, centers, "centroids")
 
-        def fold(acc, batch, shared=shared):
+    def one_pass(rows, current):
+        shared = ship(drawn.sparkSession, current, "centroids")
+
+        def fold(acc, batch):
             x = K.to_matrix(batch.column(0))
             near, d = K.nearest(x, shared.value)
             sums, counts = K.group_sums(x, near, k)
@@ -272,24 +284,34 @@ def _minibatch_steps(drawn: DataFrame, centers: np.ndarray, max_steps: int, tol:
             acc["cost"] += (d * d).sum()
             acc["square"] += (x * x).sum()
 
-        got = collect_sums(drawn.filter(F.col("batch") == step % n_batches).select("embedding"), shapes, fold)
-        shared.unpersist()
-        total = seen + got["n"]
-        moved = np.where(got["n"][:, None] > 0,
-                         (centers * seen[:, None] + got["sum"]) / np.maximum(total, 1.0)[:, None], centers)
-        rows = max(got["n"].sum(), 1.0)
-        mean = got["sum"].sum(axis=0) / rows
-        variance = max(got["square"][0] / rows - (mean * mean).sum(), 0.0) / dim
-        shift = ((moved - centers) ** 2).sum()
-        centers, seen, done, cost = moved, total, step + 1, float(got["cost"][0])
-        if shift <= tol * variance:
+        got = collect_sums(rows.select("embedding"), shapes, fold)
+        shared.destroy()
+        return got
+
+    for done in range(1, max_passes + 1):
+        before, total, square = centers, np.zeros(dim), 0.0
+        for number in range(n_batches):
+            got = one_pass(drawn.filter(F.col("batch") == number), centers)
+            counts = seen + got["n"]
+            centers = np.where(got["n"][:, None] > 0,
+                               (centers * seen[:, None] + got["sum"]) / np.maximum(counts, 1.0)[:, None], centers)
+            seen, total, square = counts, total + got["sum"].sum(axis=0), square + got["square"][0]
+        rows = max(seen.sum() / done, 1.0)
+        variance = max(square / rows - ((total / rows) ** 2).sum(), 0.0) / dim
+        converged = bool(((centers - before) ** 2).sum() <= tol * variance)
+        if converged:
             break
-    return ClusterFit(centers, cost, done)
+    return ClusterFit(centers, float(one_pass(drawn, centers)["cost"][0]), done, converged)
 
 
 def fit_clusters(points: DataFrame, n_clusters: int, clustering: str = "lloyd", init="first", n_init: int = 1,
-                 max_iter: int = 20, tol: float = 1e-4, seed: int = 0) -> ClusterFit:
-    """One entry point for all clusterings: ``lloyd``, ``fuzzy``, ``minibatch`` or ``mllib``."""
+                 max_iter: int = MAX_PASSES, tol: float = 1e-4, seed: int = 0) -> ClusterFit:
+    """One entry point for all clusterings: ``lloyd``, ``fuzzy``, ``minibatch`` or ``mllib``.
+
+    ``max_iter`` limits the passes over the table; mini-batches make 100 at most. Fuzzy clustering is fitted once.
+    """
+    if clustering == "fuzzy":
+        n_init = 1
     if clustering == "mllib":
         return kmeans_mllib(points, n_clusters, n_init, max_iter, tol, seed)
     if isinstance(init, str):
@@ -301,5 +323,6 @@ def fit_clusters(points: DataFrame, n_clusters: int, clustering: str = "lloyd",
         return lloyd(points, starts, max_iter, tol)
     starts = starts[None] if starts.ndim == 2 else starts
     run = {"fuzzy": lambda s: fuzzy_cmeans(points, s, max_iter, tol),
-           "minibatch": lambda s: minibatch_kmeans(points, s, max_steps=max_iter, tol=tol, seed=seed)}[clustering]
+           "minibatch": lambda s: minibatch_kmeans(points, s, max_passes=min(max_iter, 100), tol=tol,
+                                                       seed=seed)}[clustering]
     return reduce(lambda a, b: b if b.cost < a.cost else a, (run(s) for s in starts))

@@ -197,7 +197,7 @@ def head_sums(points: DataFrame, heads: list[np.ndarray], ema: np.ndarray,
     per_class = (n_heads, n_clusters)
     got = collect_sums(points.select("embedding"), {"n": (1,), "local": (n_heads,), "prob": per_class,
                                                     "confident": per_class, "ce": per_class}, fold)
-    shared.unpersist()
+    shared.destroy()
     if got["n"][0] == 0:
         raise ValueError("no rows to train on")
     return HeadSums(float(got["n"][0]), got["prob"], got["local"], got["confident"], got["ce"])
@@ -226,7 +226,7 @@ def head_gradient(points: DataFrame, heads: list[np.ndarray], ema: np.ndarray, s
             acc["w"] += (x.T @ grad.reshape(len(x), -1)).reshape(x.shape[1], *b.shape).transpose(1, 0, 2)
 
     got = collect_sums(points.select("embedding"), {"w": heads[0].shape, "b": heads[1].shape}, fold)
-    shared.unpersist()
+    shared.destroy()
     return [got["w"], got["b"]]
 
 

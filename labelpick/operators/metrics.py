@@ -20,10 +20,23 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def align(truth: DataFrame, prediction: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """(row_id, label, prediction[, baseline]) of the rows both sides have."""
-    joined = truth.select("row_id", "label").join(prediction.select("row_id", "prediction"), "row_id")
-    return joined if baseline is None else joined.join(baseline.select("row_id", "baseline"), "row_id")
+def align(truth: DataFrame, prediction: DataFrame, baseline: DataFrame | None = None,
+          missing: str = "error") -> DataFrame:
+    """(row_id, label, prediction[, baseline]) of every row of ``truth``.
+
+    A row without a prediction (or baseline) is an error, unless ``missing="null"`` asks for a null there.
+    """
+    out = truth.select("row_id", "label")
+    for side, name in ((prediction, "prediction"), (baseline, "baseline")):
+        if side is None:
+            continue
+        found = side.select("row_id", name, F.lit(True).alias("_found"))
+        out = out.join(found, "row_id", "left")
+        if missing == "error":
+            absent = F.raise_error(F.concat(F.lit(f"no {name} for row "), F.col("row_id").cast("string")))
+            out = out.withColumn(name, F.when(F.col("_found"), F.col(name)).otherwise(absent))
+        out = out.drop("_found")
+    return out
 
 
 def pair_counts(scored: DataFrame, sides: tuple[str, ...] = ("prediction",)) -> DataFrame:

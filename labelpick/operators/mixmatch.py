@@ -128,7 +128,7 @@ def mixed_gradient(plan: DataFrame, layers: list[np.ndarray], n_batches: int, lo
 
     cols = ["row_id", "embedding", "target", "b_row_id", "b_embedding", "b_target", "size"]
     got = collect_sums(plan.select(*cols), gradient_shapes(layers), fold)
-    shared.unpersist()
+    shared.destroy()
     return float(got["loss"][0]), [got[str(i)] for i in range(len(layers))]
 
 

@@ -112,7 +112,7 @@ def gradient(rows: DataFrame, layers: list[np.ndarray], loss: str = "kl", pos_we
         acc["weight"] += len(x)
 
     got = collect_sums(rows.select("row_id", "embedding", "target"), gradient_shapes(layers), fold)
-    shared.unpersist()
+    shared.destroy()
     n = got["weight"][0]
     if n == 0:
         raise ValueError("no rows to train on")
@@ -234,7 +234,7 @@ def validation_loss(rows: DataFrame, layers: list[np.ndarray], task: str, n_clas
         acc["n"] += len(z)
 
     got = collect_sums(with_target(rows, task, n_classes).select("embedding", "target"), {"loss": (1,), "n": (1,)}, fold)
-    shared.unpersist()
+    shared.destroy()
     return float(got["loss"][0] / max(got["n"][0], 1.0))
 
 

@@ -14,8 +14,6 @@ from labelpick.operators import cluster, density
 from labelpick.operators.repulsion import Anchors, collect_anchors, ema_factor, repulsion, repulsion_terms, with_utility
 from labelpick.session import materialize, scratch_tables, ship
 
-SMALL_ID_LIST = 10_000
-
 
 @dataclass
 class SelectionResult:
@@ -32,13 +30,9 @@ def first_members(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("k").agg(F.min("row_id").alias("row_id"), F.count("*").alias("members"))
 
 
-def with_embedding(picks: DataFrame, points: DataFrame, n_clusters: int) -> DataFrame:
-    """Look up the embeddings of at most ``n_clusters`` picked rows."""
-    small = points.select("row_id", "embedding")
-    if n_clusters <= SMALL_ID_LIST:
-        # literal ids reach the Parquet reader, which skips row groups
-        small = small.filter(F.col("row_id").isin([r["row_id"] for r in picks.select("row_id").collect()]))
-    return picks.join(small, "row_id")
+def with_embedding(picks: DataFrame, points: DataFrame) -> DataFrame:
+    """Look up the embeddings of picked rows. They are stored first, so Spark knows how few they are."""
+    return materialize(picks, "picked_ids").join(points.select("row_id", "embedding"), "row_id")
 
 
 def select_first_member(points: DataFrame, assigned: DataFrame, n_clusters: int, *, k: int = 10, m_reg: float = 0.9,
@@ -50,7 +44,7 @@ def select_first_member(points: DataFrame, assigned: DataFrame, n_clusters: int,
     average of the repulsion has a closed form. One pass replaces the rounds.
     """
     firsts = first_members(assigned)
-    picks = materialize(with_embedding(firsts.select("k", "row_id"), points, n_clusters), "picks")
+    picks = materialize(with_embedding(firsts.select("k", "row_id"), points), "picks")
     pushed = repulsion(picks, collect_anchors(picks), alpha, epsilon, exclude)
     dense = density.cluster_density(assigned, k, epsilon)
     share = ema_factor(m_reg, rounds)
@@ -141,7 +135,7 @@ def _rounds(dense: DataFrame, kind, m_reg: float, lambda_: float, epsilon: float
 
 def select_density(points: DataFrame, n_clusters: int, n_init: int = 10, m_reg: float = 0.9, k: int = 10,
                    lambda_: float = 0.5, epsilon: float = 1e-5, alpha: float = 0.75, *, mode: str = "first_member",
-                   clustering: str = "lloyd", init="random", max_iter: int = 20, tol: float = 1e-4, seed: int = 0,
+                   clustering: str = "lloyd", init="random", max_iter: int = cluster.MAX_PASSES, tol: float = 1e-4, seed: int = 0,
                    rounds: int = 10, exclude: str = "cluster", block_rows: int = density.BLOCK_ROWS) -> SelectionResult:
     """Cluster the points and pick one dense, well separated row per cluster.
 

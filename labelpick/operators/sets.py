@@ -49,11 +49,12 @@ def stack(labeled: DataFrame, unlabeled: DataFrame) -> DataFrame:
 
 
 def label_codes(df: DataFrame, column: str = "label") -> DataFrame:
-    """(label, code): distinct labels numbered from 0 in label order; array labels count as whole values."""
-    labels = df.select(column).distinct()
+    """(label, code): distinct labels numbered from 0 in label order; array labels count as whole values, null is none."""
+    labels = df.select(column).where(F.col(column).isNotNull()).distinct()
     return labels.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)  # one row per class
 
 
 def with_label_code(df: DataFrame, column: str = "label") -> DataFrame:
+    """Every row with the code of its label; rows without a label have none."""
     codes = materialize(label_codes(df, column), "label_codes")
-    return df.join(codes, column)
+    return df.join(codes, column, "left")

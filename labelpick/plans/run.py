@@ -28,7 +28,7 @@ class RunConfig:
     mode: str = "first_member"
     init: str = "random"
     n_init: int = 10
-    cluster_iterations: int = 20
+    cluster_iterations: int = 300
     m_reg: float = 0.9
     k: int = 10
     lambda_: float = 0.5
@@ -61,7 +61,7 @@ class RunConfig:
 # fixed values: the run parameters of the three tasks for both selection methods
 PRESETS = {
     ("density", "single"): RunConfig("single", 2, 60, n_init=10, alpha=0.5, epochs=100, patience=5),
-    ("density", "multi"): RunConfig("multi", 14, 30, clustering="fuzzy", exclude="row_vs_cluster", n_init=10, alpha=0.5,
+    ("density", "multi"): RunConfig("multi", 14, 30, clustering="fuzzy", exclude="row_vs_cluster", n_init=1, alpha=0.5,
                                     epochs=1000, patience=5),
     ("density", "onehot"): RunConfig("onehot", 6, 1, n_init=30, alpha=0.5, epochs=1000, patience=20),
     ("heads", "single"): RunConfig("single", 2, 30, method="heads", temperature=0.75, epochs=1000, patience=5),

@@ -188,6 +188,15 @@ def label_codes_multi(spark, folder):
     return sets.with_label_code(rows).select("doc_id", "quality", "toxic", "code")
 
 
+@query("label_codes_null", """SELECT row_id, label, CASE WHEN label IS NOT NULL THEN
+  (dense_rank() OVER (ORDER BY label NULLS LAST) - 1)::INTEGER END AS code
+FROM (SELECT vec_id AS row_id, CASE WHEN vec_id % 3 <> 0 THEN label END AS label FROM embeddings)""")
+def label_codes_null(spark, folder):
+    """Every third row has no label."""
+    rows = points(spark, folder).withColumn("label", F.when(F.col("row_id") % 3 != 0, F.col("label")))
+    return sets.with_label_code(rows).select("row_id", "label", "code")
+
+
 # ---- clustering -----------------------------------------------------------------------------------------------------
 
 @query("assign_nearest", _with(E, start_centers(), sql_assign("a", "c0")) + f"SELECT row_id, k, {sround('d')} AS d FROM a")
@@ -216,6 +225,19 @@ def lloyd_assignment(spark, folder):
     return cluster.assign_nearest(p, _fit(p).centroids).select("row_id", "k", r6("d").alias("d"))
 
 
+# more passes than any of the tables needs from these starts; passes behind convergence change nothing
+ENOUGH = 60
+
+
+@query("lloyd_converged", _with(*sql_lloyd(ENOUGH)) + f"""
+SELECT k, (generate_subscripts(c, 1) - 1)::INTEGER AS j, {sround('unnest(c)')} AS value, true AS converged FROM c{ENOUGH}""")
+def lloyd_converged(spark, folder):
+    p = points(spark, folder)
+    fit = cluster.fit_clusters(p, N_CLUSTERS, "lloyd", "first", tol=1e-9)
+    rows = long_array(cluster.centroid_table(spark, fit.centroids), "c", "k")
+    return rows.withColumn("converged", F.lit(fit.converged))
+
+
 def _sql_fuzzy(steps):
     parts = [E, FLAT, start_centers()]
     for i in range(steps):
@@ -237,12 +259,13 @@ def fcm_2(spark, folder):
     return long_array(cluster.centroid_table(spark, cluster.fuzzy_cmeans(p, first_centers(p), 2).centroids), "c", "k")
 
 
-def _sql_minibatch(steps, size):
+def _sql_minibatch(steps, size, per_pass=3):
+    """``size`` rows make a batch; step i takes batch i modulo ``per_pass``."""
     parts = [E, FLAT, sql_batches("b", "e", size, 42), start_centers("s0"),
              "c0 AS MATERIALIZED (SELECT k, c, 0::BIGINT AS seen FROM s0)"]
     for i in range(steps):
         parts += [
-            f"now{i} AS MATERIALIZED (SELECT row_id, x FROM b WHERE batch = {i})",
+            f"now{i} AS MATERIALIZED (SELECT row_id, x FROM b WHERE batch = {i % per_pass})",
             sql_assign(f"a{i}", f"c{i}", f"now{i}"),
             f"n{i} AS MATERIALIZED (SELECT k, count(*) AS n FROM a{i} GROUP BY k)",
             f"c{i + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c, o.seen + coalesce(n, 0) AS seen FROM c{i} o "
@@ -253,11 +276,24 @@ def _sql_minibatch(steps, size):
     return parts
 
 
-@query("minibatch_3", _with(*_sql_minibatch(3, 100)) + f"""
+@query("fcm_converged", _with(*_sql_fuzzy(ENOUGH)) + f"""
+SELECT k, (generate_subscripts(c, 1) - 1)::INTEGER AS j, {sround('unnest(c)')} AS value, true AS converged FROM c{ENOUGH}""")
+def fcm_converged(spark, folder):
+    p = points(spark, folder)
+    fit = cluster.fit_clusters(p, N_CLUSTERS, "fuzzy", "first", tol=1e-9)
+    rows = long_array(cluster.centroid_table(spark, fit.centroids), "c", "k")
+    return rows.withColumn("converged", F.lit(fit.converged))
+
+
+_THIRD = "(SELECT (count(*) + 2) // 3 FROM e)"
+
+
+@query("minibatch_3", _with(*_sql_minibatch(3, _THIRD)) + f"""
 SELECT k, (generate_subscripts(c, 1) - 1)::INTEGER AS j, {sround('unnest(c)')} AS value FROM c3""")
 def minibatch_3(spark, folder):
+    """One pass over the whole table in three batches."""
     p = points(spark, folder)
-    fit = cluster.minibatch_kmeans(p, first_centers(p), 100, 3, tol=0.0)
+    fit = cluster.minibatch_kmeans(p, first_centers(p), -(-p.count() // 3), max_passes=1, tol=0.0)
     return long_array(cluster.centroid_table(spark, fit.centroids), "c", "k")
 
 
@@ -376,7 +412,7 @@ def select_fuzzy(spark, folder):
                                          clustering="fuzzy", exclude="row_vs_cluster", **_OPTIONS).selected)
 
 
-@query("select_minibatch", _with(*_sql_minibatch(3, 100), sql_assign("a", "c3"), _DENSITY, _PICK, _push("p.k <> s.k"))
+@query("select_minibatch", _with(*_sql_minibatch(3, 10_000, 1), sql_assign("a", "c3"), _DENSITY, _PICK, _push("p.k <> s.k"))
        + _CHOICE)
 def select_minibatch(spark, folder):
     return _choice(select.select_density(points(spark, folder), N_CLUSTERS, init="first", max_iter=3, tol=0.0,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -20,7 +22,7 @@ BROADCAST_ROWS_LIMIT = 1_000_000
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own, which goes when the program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
@@ -28,12 +30,27 @@ def scratch_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="labelpick-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+RUN = uuid.uuid4().hex
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/labelpick/{name}-{uuid.uuid4().hex}"
+    """A new path in the part of the scratch folder that belongs to this driver."""
+    return f"{scratch_root(spark)}/labelpick/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this driver. Results that still read one must be stored before."""
+    _delete(spark, f"{scratch_root(spark)}/labelpick/{RUN}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,8 +76,7 @@ def scratch_tables(spark: SparkSession):
         yield write
     finally:
         for path in paths:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
 
 
 def small_side(df: DataFrame, row_bound: int) -> DataFrame:

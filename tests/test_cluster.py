@@ -87,8 +87,21 @@ def test_fuzzy_stops_when_centers_rest(make_points, blobs):
 
 def test_minibatch_walks_through_all_rows(make_points, blobs):
     x, _ = blobs
-    fit = cluster.minibatch_kmeans(make_points(x), x[:3], batch_size=10, max_steps=25, tol=0.0)
-    assert fit.n_iter == 25 and np.isfinite(fit.centroids).all()
+    fit = cluster.minibatch_kmeans(make_points(x), x[:3], batch_size=10, max_passes=3, tol=0.0)
+    assert fit.n_iter == 3 and np.isfinite(fit.centroids).all() and not fit.converged
+    whole = cluster.minibatch_kmeans(make_points(x), x[:1], batch_size=7, max_passes=1, tol=0.0)
+    assert np.allclose(whole.centroids[0], x.mean(0))  # one center: the mean of every row, so none was left out
+
+
+def test_fits_say_whether_they_converged(make_points, blobs):
+    p, x = make_points(blobs[0]), blobs[0]
+    short, full = cluster.lloyd(p, x[:3], 1, 1e-9), cluster.lloyd(p, x[:3], tol=1e-9)
+    assert full.converged and full.cost <= short.cost
+    again = cluster.lloyd(p, full.centroids, 1, 1e-9)
+    assert again.converged and np.allclose(again.centroids, full.centroids)
+    assert cluster.fit_clusters(p, 3, "fuzzy").converged
+    near = ((x[:, None] - full.centroids) ** 2).sum(2).min(1)
+    assert np.isclose(full.cost, near.sum())  # the cost is that of the returned centers
 
 
 def test_mllib_path(make_points, blobs):

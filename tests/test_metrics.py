@@ -83,3 +83,12 @@ def test_hot_class_is_one_aggregation(spark, n_rows):
     plan = metrics.pair_counts(df)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
     assert sum(r["n"] for r in metrics.pair_counts(df).collect()) == n_rows
+
+
+def test_rows_without_prediction_are_not_lost(spark):
+    truth = spark.createDataFrame([(1, 0), (2, 1)], "row_id long, label int")
+    guess = spark.createDataFrame([(1, 0)], "row_id long, prediction int")
+    kept = metrics.align(truth, guess, missing="null").collect()
+    assert {r["row_id"]: r["prediction"] for r in kept} == {1: 0, 2: None}
+    with pytest.raises(Exception, match="no prediction for row 2"):
+        metrics.align(truth, guess).collect()

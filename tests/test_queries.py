@@ -2,9 +2,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALLEST
+from labelpick.plans import registry
 from tools import check_queries
 
-NAMES = list(entry.queries())
+NAMES = list(registry.QUERIES)
 TRAINING = {"select_heads", "fit_mixmatch_single", "fit_mixmatch_multi", "fit_supervised", "pca_projection",
             "run_density_single", "run_density_multi", "run_heads_onehot", "kmeans_mllib"}
 
@@ -15,8 +16,8 @@ def tables():
 
 
 def test_every_query_without_sql_is_iterative_training_or_seeded():
-    assert set(NAMES) - set(entry.oracle_sql()) == TRAINING
-    assert set(entry.oracle_sql()) <= set(NAMES)
+    assert set(NAMES) - set(registry.SQL) == TRAINING
+    assert set(registry.SQL) <= set(NAMES)
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n not in TRAINING])

@@ -112,9 +112,8 @@ def test_other_clusterings(make_points, blobs, clustering):
     assert 1 <= r.selected.count() <= 3
 
 
-def test_lookup_of_many_picks_without_literal_ids(spark, make_points, blobs, monkeypatch):
-    p = make_points(blobs[0])
+def test_lookup_of_picked_rows(spark, make_points, blobs):
     picks = spark.createDataFrame([(0, 3), (1, 9)], "k int, row_id long")
-    monkeypatch.setattr(select, "SMALL_ID_LIST", 1)
-    assert select.with_embedding(picks, p, 2).select(F.size("embedding")).count() == 2
-    assert cluster.first_rows(p, 2).shape == (2, 4)
+    found = select.with_embedding(picks, make_points(blobs[0])).collect()
+    assert sorted((r["k"], r["row_id"]) for r in found) == [(0, 3), (1, 9)]
+    assert all(len(r["embedding"]) == 4 for r in found)

@@ -96,6 +96,11 @@ def test_labeled_and_unlabeled_are_a_partition(spark, make_points):
     assert sets.all_but_last(p).count() == 9
 
 
+def test_rows_without_label_stay_without_code(spark):
+    df = spark.createDataFrame([(1, 0), (2, None), (3, 1)], "row_id long, label int")
+    assert {r["row_id"]: r["code"] for r in sets.with_label_code(df).collect()} == {1: 0, 2: None, 3: 1}
+
+
 def test_duplicates_and_codes(spark):
     df = spark.createDataFrame([(1, [1, 0]), (2, [0, 1]), (3, [1, 0])], "row_id long, label array<int>")
     assert [(r["label"], r["n"]) for r in sets.duplicates(df, "label").collect()] == [([1, 0], 2)]
