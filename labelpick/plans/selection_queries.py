@@ -383,7 +383,7 @@ def cluster_density(spark, folder):
 
 def _pushed(spark, folder, exclude):
     p = points(spark, folder)
-    picks = materialize(select.with_embedding(_picks(p).select("k", "row_id"), p, N_CLUSTERS), "picks")
+    picks = materialize(select.with_embedding(_picks(p).select("k", "row_id"), p), "picks")
     pushed = repulsion.repulsion(picks, repulsion.collect_anchors(picks), ALPHA, EPSILON, exclude)
     return pushed.select("k", "row_id", r6("repulsion").alias("repulsion"))
 
