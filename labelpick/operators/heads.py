@@ -16,6 +16,7 @@ from labelpick.functions import kernels as K
 from labelpick.functions.vectors import argmax, array_of, kl_rows, log_softmax, sharpen, softmax
 from labelpick.operators.nn import Adam, Training, train
 from labelpick.operators.partials import collect_sums
+from labelpick.operators.ranks import positions
 from labelpick.session import ship
 from labelpick.sources.tables import dimension
 
@@ -269,9 +270,8 @@ def head_scores(points: DataFrame, heads: list[np.ndarray]) -> DataFrame:
 
 def top_scores(points: DataFrame, heads: list[np.ndarray], n: int) -> DataFrame:
     """(row_id, cluster, score, rank): the n rows with the highest score, smallest row id first on ties."""
-    best = head_scores(points, heads).orderBy(F.desc("score"), "row_id").limit(n)
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "row_id"))  # n rows
-    return best.withColumn("rank", rank)
+    placed = positions(head_scores(points, heads), F.desc("score"), "row_id", name="rank")
+    return placed.where(F.col("rank") < n).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def select_heads(points: DataFrame, n_clusters: int, n_heads: int = 3, epochs: int = 100, lr: float = 0.001,

@@ -6,9 +6,10 @@ a large one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelpick.operators.ranks import positions
 from labelpick.session import materialize
 
 
@@ -51,7 +52,7 @@ def stack(labeled: DataFrame, unlabeled: DataFrame) -> DataFrame:
 def label_codes(df: DataFrame, column: str = "label") -> DataFrame:
     """(label, code): distinct labels numbered from 0 in label order; array labels count as whole values, null is none."""
     labels = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return labels.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)  # one row per class
+    return positions(labels, column, name="code").withColumn("code", F.col("code").cast("int"))
 
 
 def with_label_code(df: DataFrame, column: str = "label") -> DataFrame:
