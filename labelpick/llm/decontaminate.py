@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpick.llm.common import apart, materialize, slices, text_bytes, together, words_of
+from labelpick.llm.common import apart, holder, materialize, slices, text_bytes, together, words_of
 
 WINDOW = 10
 SHARD_WORDS = 100_000
@@ -50,6 +50,13 @@ class Automaton:
         self.pairs = np.unique(np.array([a * size + b for _, ids in coded for a, b in zip(ids, ids[1:])], np.int64))
         self._mark(coded)
 
+    @classmethod
+    def of(cls, parts: dict) -> Automaton:
+        """The automaton with the attributes of another one."""
+        automaton = cls.__new__(cls)
+        automaton.__dict__.update(parts)
+        return automaton
+
     def _extend(self, last: int, w: int) -> int:
         step, link, length = self.next, self.link, self.length
         if w in step[last]:
@@ -187,10 +194,11 @@ def _find(docs: DataFrame, items: DataFrame, window: int, item_id: str, item_tex
     frame = docs.withColumns({"hits": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")})
     columns = frame.columns
     for last, automaton in automata(items, item_id, item_text, window):
-        shipped = spark.sparkContext.broadcast(automaton)
+        shipped = spark.sparkContext.broadcast(vars(automaton))  # plain values: executors need not know the class
 
         def scan(batches, shipped=shipped, last=last):
-            automaton = shipped.value
+            holder("decontaminate")
+            automaton = Automaton.of(shipped.value)
             code = automaton.vocabulary.get
             for batch in slices(batches, "text", SLICE_BYTES):
                 rows = [words_of(raw) for raw in text_bytes(batch.column("text"))]

@@ -202,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, held_of:
 
 def with_scores(docs: DataFrame, model: Model, text_col: str, score_col: str) -> DataFrame:
     """``docs`` with a probability per row; null and empty texts get that of a text without words."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: executors need not know the class
+    shipped = docs.sparkSession.sparkContext.broadcast((model.worth, model.weight, model.bias))
     columns = docs.columns
     schema = docs.select("*", F.lit(0.0).alias(score_col)).schema
 
@@ -211,8 +212,9 @@ def with_scores(docs: DataFrame, model: Model, text_col: str, score_col: str) ->
         if state.get("of") is not shipped.value:
             state.clear()
             state.update(of=shipped.value, known={})
+        model = Model(*shipped.value)
         for batch in slices(batches, text_col, SLICE_BYTES):
-            p = score_words(shipped.value, state["known"], [set(words_of(raw)) for raw in text_bytes(batch.column(text_col))])
+            p = score_words(model, state["known"], [set(words_of(raw)) for raw in text_bytes(batch.column(text_col))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*columns, score_col])
 
     return docs.mapInArrow(score, schema)
