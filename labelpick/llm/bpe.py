@@ -27,7 +27,7 @@ from labelpick.llm.blocks import (expand, gather, numbered, pack, received_words
                                   unpack, word_shards)
 from labelpick.llm.common import apart, file_text, holder, slices, texts
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 CHUNK_UNITS = 100_000
 
 # What the split may rely on. A space-like character that follows another character always starts a new
@@ -61,6 +61,7 @@ def _word_blocks(docs: DataFrame, text_col: str, special: list[str], shards: int
     """Store (block, pack, units, shard_of, messages), bucketed by block. The text itself is not kept."""
 
     def run(batches):
+        holder("bpe")
         for block, batch in numbered(batches, text_col, BLOCK_BYTES):
             local: dict[str, int] = {}
             found, sizes = [], []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -63,7 +64,8 @@ def file_text(spark: SparkSession, path: str) -> Broadcast:
 def holder(name: str) -> dict:
     """A dict that lives as long as the Python worker, for caches that several tasks share.
 
-    A worker holds the caches of one operator at a time; those of the one before are let go.
+    A worker holds the caches of one operator at a time; those of the one before are let go, and the memory goes back to
+    the system. Operators without caches call this too, so as not to work beside those of the one before.
     """
     module = sys.modules.setdefault("labelpick_worker_state", types.ModuleType("labelpick_worker_state"))
     held = module.__dict__.setdefault("held", {})
@@ -71,6 +73,9 @@ def holder(name: str) -> dict:
         held.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
     return held.setdefault(name, {})
 
 
