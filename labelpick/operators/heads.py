@@ -17,7 +17,9 @@ from labelpick.functions.vectors import argmax, array_of, kl_rows, log_softmax,
 from labelpick.operators.nn import Adam, Training, train
 from labelpick.operators.partials import collect_sums
 from labelpick.operators.ranks import positions
-from labelpick.session import ship
+from labelpick.operators.steps import lay_out
+from labelpick.session import scratch_tables, ship
+from labelpick.sources.states import Resume
 from labelpick.sources.tables import dimension
 
 # fixed values of the method
@@ -233,22 +235,33 @@ def head_gradient(points: DataFrame, heads: list[np.ndarray], ema: np.ndarray, s
 
 def fit_heads(points: DataFrame, n_clusters: int, n_heads: int = 3, epochs: int = 100, lr: float = 0.001,
               validation: DataFrame | None = None, patience: int | None = None, keep: str = "last", seed: int = 0,
-              momentum: float = MOMENTUM, init: list[np.ndarray] | None = None) -> tuple[Training, np.ndarray]:
-    """Train the heads with one full-batch step per epoch; also returns the moving average of the probabilities.
+              momentum: float = MOMENTUM, init: list[np.ndarray] | None = None, batch_size: int | None = None,
+              batches_per_step: int = 1, resume: Resume | None = None) -> tuple[Training, np.ndarray]:
+    """Train the heads; also returns the moving average of the probabilities.
 
-    The validation loss reads the moving average but never changes it.
+    With a ``batch_size`` there is one step per ``batches_per_step`` batches, in an order of its own every epoch; the
+    moving average moves at every step, and the loss of an epoch is the mean over its steps. Without one, every epoch is
+    one step over all rows. The validation loss reads the moving average but never changes it.
     """
     dim = dimension(points)
     state, adam = {"ema": np.full((n_heads, n_clusters), 1.0 / n_clusters)}, Adam(lr)
-
-    def epoch(params, _):
-        sums = head_sums(points, params, state["ema"])
-        grads = head_gradient(points, params, state["ema"], sums)
-        state["ema"] = sums.next_ema(state["ema"], momentum)
-        return sums.loss(), adam.update(params, grads)
-
-    check = None if validation is None else lambda p: head_sums(validation, p, state["ema"]).loss()
-    fit = train(init or init_heads(dim, n_clusters, n_heads, seed), epoch, epochs, check, patience, keep)
+    with scratch_tables(points.sparkSession) as write:
+        layout = None if batch_size is None else lay_out(points.select("row_id", "embedding"), batch_size,
+                                                         batches_per_step, seed, write)
+
+        def epoch(params, number):
+            losses = []
+            for step in [points] if layout is None else layout.steps(number):
+                sums = head_sums(step, params, state["ema"])
+                grads = head_gradient(step, params, state["ema"], sums)
+                state["ema"] = sums.next_ema(state["ema"], momentum)
+                params = adam.update(params, grads)
+                losses.append(sums.loss())
+            return float(np.mean(losses)), params
+
+        check = None if validation is None else lambda p: head_sums(validation, p, state["ema"]).loss()
+        fit = train(init or init_heads(dim, n_clusters, n_heads, seed), epoch, epochs, check, patience, keep, adam,
+                    state, resume)
     return fit, state["ema"]
 
 
@@ -276,7 +289,8 @@ def top_scores(points: DataFrame, heads: list[np.ndarray], n: int) -> DataFrame:
 
 def select_heads(points: DataFrame, n_clusters: int, n_heads: int = 3, epochs: int = 100, lr: float = 0.001,
                  validation: DataFrame | None = None, patience: int | None = None, keep: str = "last",
-                 seed: int = 0) -> DataFrame:
+                 seed: int = 0, batch_size: int | None = None, batches_per_step: int = 1) -> DataFrame:
     """Train heads on all points and pick the ``n_clusters`` rows they are most confident about."""
-    fit, _ = fit_heads(points, n_clusters, n_heads, epochs, lr, validation, patience, keep, seed)
+    fit, _ = fit_heads(points, n_clusters, n_heads, epochs, lr, validation, patience, keep, seed, batch_size=batch_size,
+                       batches_per_step=batches_per_step)
     return top_scores(points, fit.params, n_clusters).select("row_id", "cluster", "rank", "score")

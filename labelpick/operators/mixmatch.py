@@ -18,7 +18,9 @@ from labelpick.operators.nn import (Adam, Training, add_gradient, gradient_shape
                                     run_layers, task_loss, train, validation_loss, with_target)
 from labelpick.operators.partials import collect_sums
 from labelpick.operators.sets import split_rows, stack
+from labelpick.operators.steps import PLACES, turn
 from labelpick.session import scratch_tables, ship
+from labelpick.sources.states import Resume
 
 PARTNER_DRAW = 900_004
 PLAN_ROWS = 1_000_000
@@ -87,9 +89,27 @@ def mixed_rows(rows: DataFrame, share: float = 0.75, seed: int = 0) -> DataFrame
                          mix(F.col("target"), F.col("b_target"), share).alias("target"))
 
 
+def redealt(labeled: DataFrame, epochs: range, size: int, n_labeled: int, seed: int = 0) -> DataFrame:
+    """The labeled rows once per epoch, with ``epoch`` and the batch and place they have in it.
+
+    Places are permuted by numbers alone; the first epoch has the batches as they were dealt.
+    """
+    turns = F.array(*[F.struct(F.lit(e).cast("long").alias("epoch"), *[F.lit(x).cast("long").alias(name) for name, x in
+                               zip("ac", turn(n_labeled, e, PLACES, seed))]) for e in epochs])
+    each = labeled.withColumn("_turn", F.explode(turns))
+    place = F.pmod((F.col("batch") * size + F.col("pos")) * F.col("_turn.a") + F.col("_turn.c"), F.lit(n_labeled))
+    return (each.withColumn("_place", place).withColumn("epoch", F.col("_turn.epoch"))
+            .withColumn("batch", F.floor(F.col("_place") / size)).withColumn("pos", F.pmod("_place", F.lit(size)).cast("int"))
+            .drop("_turn", "_place"))
+
+
 def batch_rows(labeled: DataFrame, unlabeled: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of every batch pair: the labeled batch followed by its unlabeled batch."""
-    left = labeled.withColumnRenamed("batch", "labeled_batch").join(pairs, "labeled_batch")
+    """Rows of every batch pair: the labeled batch followed by its unlabeled batch.
+
+    If ``labeled`` has a column ``epoch``, its batches are those of that epoch only.
+    """
+    on = ["labeled_batch", "epoch"] if "epoch" in labeled.columns else ["labeled_batch"]
+    left = labeled.withColumnRenamed("batch", "labeled_batch").join(pairs, on)
     right = unlabeled.withColumnRenamed("batch", "unlabeled_batch").join(pairs, "unlabeled_batch")
     cols = ["epoch", "batch", "pos", "row_id", "embedding", "target"]
     return stack(left.select(F.lit(0).alias("is_unlabeled"), *cols), right.select(F.lit(1).alias("is_unlabeled"), *cols))
@@ -137,11 +157,11 @@ def fit_mixmatch(points: DataFrame, selected: DataFrame, n_classes: int, task: s
                  std_dev: float = 0.1, share: float = 0.75, hidden: tuple[int, ...] = (256, 128),
                  validation: DataFrame | None = None, patience: int | None = None, keep: str = "last",
                  pseudo: str = "softmax", batches_per_step: int | None = None, seed: int = 0,
-                 init: list[np.ndarray] | None = None) -> Training:
+                 init: list[np.ndarray] | None = None, resume: Resume | None = None) -> Training:
     """Train a classifier from the labels of the selected rows and pseudo-labels of the rest.
 
-    Every epoch pairs each labeled batch with the next unlabeled batch in a seeded random order, so it needs exactly as
-    many unlabeled batches as there are labeled ones. These are drawn once for all epochs and kept in a scratch table
+    Every epoch deals the labeled rows into other batches and pairs each with the next unlabeled batch in a seeded random
+    order, so it needs exactly as many unlabeled batches as there are labeled ones. These are drawn once for all epochs and kept in a scratch table
     together with their mixing partners, which do not depend on the weights: a step is one narrow pass over its epoch.
     If the batches of all epochs would be more than ``PLAN_ROWS`` rows, they are laid out a few epochs at a time.
     One optimizer step per epoch, or one per ``batches_per_step`` batches.
@@ -153,10 +173,10 @@ def fit_mixmatch(points: DataFrame, selected: DataFrame, n_classes: int, task: s
         labels = with_target(labels, task, n_classes)
         rest = rest.select("row_id", "embedding", F.lit(None).cast("array<double>").alias("target"))
         lab = write(batches(labels, batch_size, seed), "labeled_batches")
-        top = lab.agg(F.max("batch").alias("b"), F.first(F.size("embedding")).alias("d")).first()
+        top = lab.agg(F.max("batch").alias("b"), F.count("*").alias("n"), F.first(F.size("embedding")).alias("d")).first()
         if top["b"] is None:
             raise ValueError("none of the selected rows is in the table")
-        n_lab, dim = top["b"] + 1, top["d"]
+        n_lab, n_labeled, dim = top["b"] + 1, top["n"], top["d"]
         unl = write(batches(rest, batch_size, seed + 1, first=epochs * n_lab), "unlabeled_batches")
         last = unl.agg(F.max("batch")).first()[0]
         if last is None:
@@ -167,10 +187,12 @@ def fit_mixmatch(points: DataFrame, selected: DataFrame, n_classes: int, task: s
 
         def epoch(params, number):
             nonlocal plan
-            if number % chunk == 0:
+            if plan is None or number % chunk == 0:
                 plans.close()  # drops the layout of the epochs before
-                now = pairs.filter((F.col("epoch") >= number) & (F.col("epoch") < number + chunk))
-                laid_out = with_partner(batch_rows(lab, unl, now), seed)
+                until = number - number % chunk + chunk  # a resumed training may begin inside a chunk
+                now = pairs.filter((F.col("epoch") >= number) & (F.col("epoch") < until))
+                laid_out = with_partner(batch_rows(redealt(lab, range(number, min(until, epochs)), batch_size,
+                                                           n_labeled, seed), unl, now), seed)
                 if chunk > 1 or step_batches < n_lab:
                     # range order lets a step skip the row groups of other steps; a step that reads all needs none
                     laid_out = laid_out.repartitionByRange("epoch", "batch").sortWithinPartitions("epoch", "batch")
@@ -186,4 +208,5 @@ def fit_mixmatch(points: DataFrame, selected: DataFrame, n_classes: int, task: s
             return float(np.mean(losses)), params
 
         check = None if validation is None else lambda p: validation_loss(validation, p, task, n_classes)
-        return train(init or init_classifier(dim, n_classes, hidden, seed), epoch, epochs, check, patience, keep)
+        return train(init or init_classifier(dim, n_classes, hidden, seed), epoch, epochs, check, patience, keep, adam,
+                     resume=resume)

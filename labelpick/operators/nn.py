@@ -19,7 +19,9 @@ from labelpick.functions import kernels as K
 from labelpick.functions.random import uniform_array
 from labelpick.functions.vectors import argmax, bce_rows, doubles, kl_rows, one_hot, over_threshold, sigmoid
 from labelpick.operators.partials import collect_sums
-from labelpick.session import ship
+from labelpick.operators.steps import lay_out
+from labelpick.session import scratch_tables, ship
+from labelpick.sources.states import Resume
 from labelpick.sources.tables import dimension
 
 HIDDEN = (256, 128)
@@ -154,26 +156,44 @@ class Training:
 
 def train(params: list[np.ndarray], epoch: Callable[[list[np.ndarray], int], tuple[float, list[np.ndarray]]],
           epochs: int, validate: Callable[[list[np.ndarray]], float] | None = None, patience: int | None = None,
-          keep: str = "last") -> Training:
+          keep: str = "last", adam: Adam | None = None, extra: dict[str, np.ndarray] | None = None,
+          resume: Resume | None = None) -> Training:
     """Run ``epoch(params, number) -> (loss, params)`` until the validation loss has not improved ``patience`` times.
 
-    ``keep="last"`` returns the weights of the last epoch, ``"best"`` those with the lowest validation loss.
+    ``keep="last"`` returns the weights of the last epoch, ``"best"`` those with the lowest validation loss. With
+    ``resume``, the state of the last finished epoch is stored after each one, and a training that was broken off goes on
+    from it; ``adam`` and the arrays in ``extra`` belong to that state and are changed in place.
     """
     losses, checks, best, best_params, waited = [], [], np.inf, params, 0
-    for number in range(epochs):
+    state = resume.load() if resume is not None else None
+    if state is not None:
+        params, best_params = state["params"], state["best"]
+        losses, checks = state["losses"].tolist(), state["checks"].tolist()
+        best, waited = min(checks, default=np.inf), int(state["counters"][0])
+        if adam is not None:
+            adam.steps, adam.mean, adam.square = int(state["counters"][1]), state["mean"], state["square"]
+        for name in extra or {}:
+            extra[name] = state["extra"][name]
+
+    def over() -> bool:
+        return patience is not None and validate is not None and waited >= patience
+
+    for number in range(len(losses), epochs):
+        if over():
+            break
         loss, params = epoch(params, number)
         losses.append(loss)
-        if validate is None:
-            continue
-        checks.append(validate(params))
-        if checks[-1] < best:
-            best, best_params, waited = checks[-1], params, 0
-        else:
-            waited += 1
-        if patience is not None and waited >= patience:
-            break
-    stopped = patience is not None and validate is not None and waited >= patience
-    return Training(best_params if keep == "best" and checks else params, losses, checks, stopped)
+        if validate is not None:
+            checks.append(validate(params))
+            if checks[-1] < best:
+                best, best_params, waited = checks[-1], params, 0
+            else:
+                waited += 1
+        if resume is not None:
+            resume.save({"params": params, "best": best_params, "losses": np.array(losses), "checks": np.array(checks),
+                         "counters": np.array([waited, adam.steps if adam else 0], float),
+                         "mean": adam.mean if adam else [], "square": adam.square if adam else [], "extra": extra or {}})
+    return Training(best_params if keep == "best" and checks else params, losses, checks, over())
 
 
 def with_target(rows: DataFrame, task: str, n_classes: int) -> DataFrame:
@@ -191,17 +211,30 @@ def task_loss(task: str) -> str:
 def fit_supervised(rows: DataFrame, n_classes: int, task: str = "multi", epochs: int = 50, lr: float = 0.001,
                    hidden: tuple[int, ...] = HIDDEN, pos_weight: np.ndarray | None = None, dropout: float = 0.0,
                    seed: int = 0, validation: DataFrame | None = None, patience: int | None = None,
-                   keep: str = "last", init: list[np.ndarray] | None = None) -> Training:
-    """Train on all labels (row_id, embedding, label); one full-batch step per epoch."""
+                   keep: str = "last", init: list[np.ndarray] | None = None, batch_size: int | None = None,
+                   batches_per_step: int = 1, resume: Resume | None = None) -> Training:
+    """Train on all labels (row_id, embedding, label).
+
+    With a ``batch_size`` there is one step per ``batches_per_step`` batches, in an order of its own every epoch; the loss
+    of an epoch is the mean over its steps. Without one, every epoch is one step over all rows.
+    """
     data, loss, adam = with_target(rows, task, n_classes), task_loss(task), Adam(lr)
     dim = dimension(rows)
-
-    def epoch(params, number):
-        value, grads = gradient(data, params, loss, pos_weight, dropout, number, seed)
-        return value, adam.update(params, grads)
-
-    check = None if validation is None else lambda p: validation_loss(validation, p, task, n_classes)
-    return train(init or init_classifier(dim, n_classes, hidden, seed), epoch, epochs, check, patience, keep)
+    with scratch_tables(rows.sparkSession) as write:
+        layout = None if batch_size is None else lay_out(data, batch_size, batches_per_step, seed, write)
+
+        def epoch(params, number):
+            losses = []
+            for at, step in enumerate([data] if layout is None else layout.steps(number)):
+                draw = number if layout is None else number * layout.n_batches + at
+                value, grads = gradient(step, params, loss, pos_weight, dropout, draw, seed)
+                params = adam.update(params, grads)
+                losses.append(value)
+            return float(np.mean(losses)), params
+
+        check = None if validation is None else lambda p: validation_loss(validation, p, task, n_classes)
+        return train(init or init_classifier(dim, n_classes, hidden, seed), epoch, epochs, check, patience, keep,
+                     adam, resume=resume)
 
 
 def logits(points: DataFrame, layers: list[np.ndarray]) -> DataFrame:

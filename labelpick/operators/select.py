@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labelpick.functions import kernels as K
 from labelpick.operators import cluster, density
-from labelpick.operators.repulsion import Anchors, collect_anchors, ema_factor, repulsion, repulsion_terms, with_utility
+from labelpick.operators.repulsion import Anchors, ema_factor, repulsion, repulsion_terms, with_utility
 from labelpick.session import materialize, scratch_tables, ship
 
 
@@ -45,7 +45,7 @@ def select_first_member(points: DataFrame, assigned: DataFrame, n_clusters: int,
     """
     firsts = first_members(assigned)
     picks = materialize(with_embedding(firsts.select("k", "row_id"), points), "picks")
-    pushed = repulsion(picks, collect_anchors(picks), alpha, epsilon, exclude)
+    pushed = repulsion(picks, picks, alpha, epsilon, exclude)
     dense = density.cluster_density(assigned, k, epsilon)
     share = ema_factor(m_reg, rounds)
     return with_utility(pushed.join(dense, "k").select(
@@ -135,7 +135,7 @@ def _rounds(dense: DataFrame, kind, m_reg: float, lambda_: float, epsilon: float
 
 def select_density(points: DataFrame, n_clusters: int, n_init: int = 10, m_reg: float = 0.9, k: int = 10,
                    lambda_: float = 0.5, epsilon: float = 1e-5, alpha: float = 0.75, *, mode: str = "first_member",
-                   clustering: str = "lloyd", init="random", max_iter: int = cluster.MAX_PASSES, tol: float = 1e-4, seed: int = 0,
+                   clustering: str = "lloyd", init="spread", max_iter: int = cluster.MAX_PASSES, tol: float = 1e-4, seed: int = 0,
                    rounds: int = 10, exclude: str = "cluster", block_rows: int = density.BLOCK_ROWS) -> SelectionResult:
     """Cluster the points and pick one dense, well separated row per cluster.
 

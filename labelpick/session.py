@@ -43,14 +43,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/labelpick/{RUN}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target, files = _at(spark, path)
+    files.delete(target, True)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    target, files = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this driver. Results that still read one must be stored before."""
-    _delete(spark, f"{scratch_root(spark)}/labelpick/{RUN}")
+    delete_path(spark, f"{scratch_root(spark)}/labelpick/{RUN}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -76,7 +87,7 @@ def scratch_tables(spark: SparkSession):
         yield write
     finally:
         for path in paths:
-            _delete(spark, path)
+            delete_path(spark, path)
 
 
 def small_side(df: DataFrame, row_bound: int) -> DataFrame:

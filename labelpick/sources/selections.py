@@ -1,4 +1,7 @@
-"""Stored selections: one Parquet table for all runs, partitioned by method."""
+"""Stored selections: one Parquet table for all runs, partitioned by method.
+
+A selection that is made anew is appended under the next version; the newest one counts, older ones stay.
+"""
 
 from __future__ import annotations
 
@@ -8,42 +11,44 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "run_id string, row_id long, cluster int, rank int, score double, method string"
+SCHEMA = "run_id string, row_id long, cluster int, rank int, score double, version int, method string"
 
 
-def save_selection(selected: DataFrame, path: str, run_id: str, method: str) -> None:
+def save_selection(selected: DataFrame, path: str, run_id: str, method: str, version: int = 0) -> None:
     """Append ``selected`` (row_id, and cluster, rank, score where present)."""
     def or_null(name, kind):
         return (F.col(name) if name in selected.columns else F.lit(None)).cast(kind).alias(name)
 
     (selected.select(F.lit(run_id).alias("run_id"), F.col("row_id").cast("long"), or_null("cluster", "int"),
-                     or_null("rank", "int"), or_null("score", "double"), F.lit(method).alias("method"))
+                     or_null("rank", "int"), or_null("score", "double"), F.lit(version).alias("version"),
+                     F.lit(method).alias("method"))
      .write.mode("append").partitionBy("method").parquet(path))
 
 
+def _versions(spark: SparkSession, path: str, run_id: str, method: str) -> DataFrame:
+    named = (spark.read.schema(SCHEMA).parquet(path)
+             .filter((F.col("method") == method) & (F.col("run_id") == run_id)))
+    return named.withColumn("version", F.coalesce("version", F.lit(0)))
+
+
 def load_selection(spark: SparkSession, path: str, run_id: str, method: str) -> DataFrame:
-    return (spark.read.schema(SCHEMA).parquet(path)
-            .filter((F.col("method") == method) & (F.col("run_id") == run_id)))
+    """The newest version of a selection; no rows if there is none."""
+    named = _versions(spark, path, run_id, method)
+    newest = named.agg(F.max("version").alias("version"))
+    return named.join(newest, "version", "left_semi").drop("version")
+
+
+def newest_version(spark: SparkSession, path: str, run_id: str, method: str) -> int | None:
+    try:
+        return _versions(spark, path, run_id, method).agg(F.max("version")).first()[0]
+    except AnalysisException:  # no table yet
+        return None
 
 
 def select_or_load(spark: SparkSession, path: str, run_id: str, method: str, compute: Callable[[], DataFrame],
                    recalculate: bool = False) -> DataFrame:
     """Use the stored selection of this run unless there is none or a new one is asked for."""
-    if not recalculate:
-        try:
-            stored = load_selection(spark, path, run_id, method)
-            if not stored.isEmpty():
-                return stored
-        except AnalysisException:  # no table yet
-            pass
-    elif _exists(spark, path, run_id, method):
-        raise ValueError(f"run {run_id} is already stored for {method}; give the new selection its own run_id")
-    save_selection(compute(), path, run_id, method)
+    version = newest_version(spark, path, run_id, method)
+    if version is None or recalculate:
+        save_selection(compute(), path, run_id, method, 0 if version is None else version + 1)
     return load_selection(spark, path, run_id, method)
-
-
-def _exists(spark: SparkSession, path: str, run_id: str, method: str) -> bool:
-    try:
-        return not load_selection(spark, path, run_id, method).isEmpty()
-    except AnalysisException:
-        return False
