@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from labelpick.operators.ranks import positions
 from labelpick.session import materialize
@@ -36,9 +37,20 @@ def all_but_last(points: DataFrame) -> DataFrame:
     return points.filter(F.col("row_id") < points.agg(F.max("row_id")).scalar())
 
 
-def duplicates(df: DataFrame, column: str) -> DataFrame:
-    """Values seen more than once, with their count; counted on the map side before the shuffle."""
-    return df.groupBy(column).agg(F.count("*").alias("n")).filter("n > 1")
+def duplicates(df: DataFrame, column: str, write=materialize) -> DataFrame:
+    """(column, n): values seen more than once, with their count; null counts as a value.
+
+    Of texts, only 128-bit digests are shuffled at first, counted on the map side. The texts themselves are compared
+    where their digests are seen more than once, and only those are sent.
+    """
+    if not isinstance(df.schema[column].dataType, (StringType, BinaryType)):
+        return df.groupBy(column).agg(F.count("*").alias("n")).filter("n > 1")
+    digest = F.coalesce(F.md5(F.col(column).cast("binary")), F.lit("null"))
+    rows = df.select(F.col(column).alias("value"), digest.alias("digest"))
+    often = write(rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "seen_again")
+    again = rows.join(often, "digest", "left_semi")
+    return again.groupBy("digest", "value").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.col("value").alias(column), "n")
 
 
 def distinct_classes(df: DataFrame, column: str = "label") -> DataFrame:
