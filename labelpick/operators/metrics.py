@@ -24,17 +24,21 @@ def align(truth: DataFrame, prediction: DataFrame, baseline: DataFrame | None =
           missing: str = "error") -> DataFrame:
     """(row_id, label, prediction[, baseline]) of every row of ``truth``.
 
-    A row without a prediction (or baseline) is an error, unless ``missing="null"`` asks for a null there.
+    A row without a prediction (or baseline) is an error, unless ``missing="null"`` asks for a null there. Two of them for
+    one row are always an error.
     """
     out = truth.select("row_id", "label")
     for side, name in ((prediction, "prediction"), (baseline, "baseline")):
         if side is None:
             continue
-        found = side.select("row_id", name, F.lit(True).alias("_found"))
+        # grouped by the key of the join, which needs no further shuffle
+        found = side.groupBy("row_id").agg(F.first(name).alias(name), F.count("*").alias("_found"))
         out = out.join(found, "row_id", "left")
+        many = F.raise_error(F.concat(F.lit(f"more than one {name} for row "), F.col("row_id").cast("string")))
+        out = out.withColumn(name, F.when(F.col("_found") > 1, many).otherwise(F.col(name)))
         if missing == "error":
             absent = F.raise_error(F.concat(F.lit(f"no {name} for row "), F.col("row_id").cast("string")))
-            out = out.withColumn(name, F.when(F.col("_found"), F.col(name)).otherwise(absent))
+            out = out.withColumn(name, F.when(F.col("_found").isNotNull(), F.col(name)).otherwise(absent))
         out = out.drop("_found")
     return out
 

@@ -1,7 +1,7 @@
 """Distributed sums (or minima, maxima) of dense arrays.
 
 Each task folds its Arrow batches into arrays of a fixed shape and emits them in chunks of ``CHUNK`` doubles, so a pass
-sends tasks x entries / CHUNK rows. Input partitions are first taken together into a few tasks per core: what a pass sends
+sends tasks x entries / CHUNK rows. Input partitions are first taken together into eight tasks per core: what a pass sends
 then depends on the cluster and on the shapes, not on the number of files. Chunks are merged twice: those of a group of
 tasks, then those of all groups. Merging is a shuffle of chunks and an aggregation of their entries behind it.
 """
@@ -22,7 +22,7 @@ from labelpick.session import check_model_size
 
 Fold = Callable[[dict[str, np.ndarray], pa.RecordBatch], None]
 CHUNK = 1024
-TASKS_PER_CORE = 4
+TASKS_PER_CORE = 8
 _ROWS_PER_BATCH = 256  # chunks
 _SCHEMA = "chunk int, team int, v array<double>"
 
