@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from labelpick.operators import batches, cluster, density, repulsion, scale, select, sets
+from labelpick.functions import random as R
+from labelpick.operators import batches, cluster, density, repulsion, scale, seeding, select, sets
 from labelpick.plans.registry import (E, FLAT, MU, N_CLASSES, N_CLUSTERS, _with, class_means, first_centers, long_array, points,
-                                      query, r6, sql_assign, sql_batches, sql_lloyd, sql_uniform, sround, start_centers, table)
+                                      query, r6, sql_assign, sql_batches, sql_lloyd, sql_move, sql_uniform, sround, start_centers,
+                                      table)
 from labelpick.session import materialize, scratch_path, small_side
 from labelpick.sources.selections import load_selection, save_selection, select_or_load
 from labelpick.sources.tables import as_points, load_split, partition_data, read_table, write_splits
@@ -297,6 +299,90 @@ def minibatch_3(spark, folder):
     return long_array(cluster.centroid_table(spark, fit.centroids), "c", "k")
 
 
+def _sql_minibatch_restarts(restarts, passes, share):
+    """``passes`` over the same three batches, all restarts side by side; starved centers are drawn anew in between."""
+    first = sql_uniform("row_id", "0", cluster.INIT_DRAW, 0)
+    parts = [E, FLAT, sql_batches("b", "e", _THIRD, 42),
+             f"c0 AS MATERIALIZED (SELECT ((n - 1) // {N_CLUSTERS})::INTEGER AS r, ((n - 1) % {N_CLUSTERS})::INTEGER AS k, x AS c, "
+             f"0::BIGINT AS seen FROM (SELECT row_number() OVER (ORDER BY {first}, row_id) AS n, x FROM e) "
+             f"WHERE n <= {N_CLUSTERS * restarts})"]
+    for i in range(3 * passes):
+        parts += [
+            f"a{i} AS MATERIALIZED (SELECT row_id, r, arg_min(k, {{'d': d, 'k': k}}) AS k FROM (SELECT b.row_id, r, k, "
+            f"list_distance(x, c) AS d FROM b, c{i} WHERE batch = {i % 3}) GROUP BY row_id, r)",
+            f"n{i} AS MATERIALIZED (SELECT r, k, count(*) AS n FROM a{i} GROUP BY r, k)",
+            f"m{i} AS MATERIALIZED (SELECT r, k, list(v ORDER BY j) AS c FROM (SELECT a.r, a.k, f.j, (any_value(o.c[f.j + 1]) * "
+            f"any_value(o.seen) + sum(f.v)) / (any_value(o.seen) + count(*)) AS v FROM a{i} a JOIN flat f USING (row_id) JOIN "
+            f"c{i} o ON o.k = a.k AND o.r = a.r GROUP BY a.r, a.k, f.j) GROUP BY r, k)",
+            f"t{i} AS MATERIALIZED (SELECT o.r, o.k, coalesce(m.c, o.c) AS c, o.seen + coalesce(n, 0) AS seen FROM c{i} o "
+            f"LEFT JOIN n{i} USING (r, k) LEFT JOIN m{i} m USING (r, k))"]
+        if i % 3 < 2 or i == 3 * passes - 1:
+            parts.append(f"c{i + 1} AS (SELECT * FROM t{i})")
+            continue
+        u = sql_uniform("e.row_id", f"(s.r * {N_CLUSTERS} + s.k)", cluster.REDRAW + i // 3 + 1, 42)
+        parts += [
+            f"few{i} AS MATERIALIZED (SELECT r, k, seen < {share} * max(seen) OVER (PARTITION BY r) AS few, c, seen FROM t{i})",
+            f"drawn{i} AS MATERIALIZED (SELECT s.r, s.k, arg_min(e.x, {{'u': {u}, 'i': e.row_id}}) AS c FROM few{i} s, e "
+            f"WHERE few GROUP BY s.r, s.k)",
+            f"c{i + 1} AS MATERIALIZED (SELECT f.r, f.k, coalesce(d.c, f.c) AS c, CASE WHEN few THEN (SELECT min(seen) FROM few{i} g "
+            f"WHERE g.r = f.r AND NOT few) ELSE seen END AS seen FROM few{i} f LEFT JOIN drawn{i} d USING (r, k))"]
+    return parts + [f"best AS (SELECT arg_min(r, cost) AS r FROM (SELECT r, sum(d * d) AS cost FROM (SELECT row_id, r, "
+                    f"min(list_distance(x, c)) AS d FROM e, c{3 * passes} GROUP BY row_id, r) GROUP BY r))"]
+
+
+MINIBATCH_RESTARTS, STARVED = 3, 0.7
+
+
+@query("minibatch_restarts", _with(*_sql_minibatch_restarts(MINIBATCH_RESTARTS, 2, STARVED)) + f"""
+SELECT k, (generate_subscripts(c, 1) - 1)::INTEGER AS j, {sround('unnest(c)')} AS value FROM c6 JOIN best USING (r)""")
+def minibatch_restarts(spark, folder):
+    """Three starts share the dealt batches over two passes; the share is high, so that some centers are drawn anew."""
+    p = points(spark, folder)
+    starts = cluster.random_rows(p, N_CLUSTERS, MINIBATCH_RESTARTS)
+    fit = cluster.minibatch_kmeans(p, starts, -(-p.count() // 3), max_passes=2, tol=0.0, reassign=STARVED)
+    return long_array(cluster.centroid_table(spark, fit.centroids), "c", "k")
+
+
+SEED_ROUNDS, SEED_FACTOR = 3, 2.0
+
+
+def _sql_seeds(restart=0, n=N_CLUSTERS, rounds=SEED_ROUNDS, factor=SEED_FACTOR):
+    """Parallel seeding with the same draws: seeds (k, c). ``cand`` are the candidates, ``pick`` those drawn of them."""
+    parts = [f"cand0 AS MATERIALIZED (SELECT row_id, x FROM e ORDER BY "
+             f"{sql_uniform('row_id', restart, seeding.FIRST_DRAW)}, row_id LIMIT 1)"]
+    for i in range(rounds):
+        u = sql_uniform("row_id", str(restart * seeding.ROUND_STEP + i), seeding.ROUND_DRAW)
+        parts += [
+            f"far{i} AS MATERIALIZED (SELECT e.row_id, pow(min(list_distance(e.x, c.x)), 2) AS d2 FROM e, cand{i} c GROUP BY e.row_id)",
+            f"race{i} AS MATERIALIZED (SELECT row_id, {u} / d2 AS t FROM far{i} WHERE d2 > 0)",
+            f"cand{i + 1} AS MATERIALIZED (SELECT row_id, x FROM cand{i} UNION ALL SELECT row_id, x FROM race{i} JOIN e USING "
+            f"(row_id) WHERE t < {factor * n} / (SELECT sum(d2) FROM far{i}) OR t = (SELECT min(t) FROM race{i}))"]
+    parts.append(f"weight AS MATERIALIZED (SELECT row_id, count(*) AS w FROM (SELECT arg_min(c.row_id, list_distance(e.x, c.x)) "
+                 f"AS row_id FROM e, cand{rounds} c GROUP BY e.row_id) GROUP BY row_id)")
+    for j in range(n):
+        clock = f"-ln(greatest({sql_uniform('c.row_id', str(restart * n + j), seeding.PICK_DRAW)}, 1.0::DOUBLE / {R.PRIME}))"
+        rate = "w" if j == 0 else f"w * (SELECT min(pow(list_distance(c.x, p.x), 2)) FROM pick{j - 1} p)"
+        earlier = "" if j == 0 else f"SELECT k, row_id, x FROM pick{j - 1} UNION ALL "
+        parts.append(f"pick{j} AS MATERIALIZED ({earlier}SELECT {j} AS k, row_id, x FROM (SELECT c.row_id, c.x, {clock} / "
+                     f"nullif({rate}, 0) AS t FROM cand{rounds} c JOIN weight USING (row_id)) WHERE t IS NOT NULL "
+                     f"QUALIFY row_number() OVER (ORDER BY t, row_id) = 1)")
+    return parts
+
+
+@query("seed_parallel", _with(E, *_sql_seeds(), *[p.replace("cand", "acand").replace("far", "afar").replace("race", "arace")
+       .replace("weight", "aweight").replace("pick", "apick") for p in _sql_seeds(1)]) + f"""
+SELECT start, k, row_id, (generate_subscripts(x, 1) - 1)::INTEGER AS j, {sround('unnest(x)')} AS value FROM (
+  SELECT 0 AS start, * FROM pick{N_CLUSTERS - 1} UNION ALL SELECT 1, * FROM apick{N_CLUSTERS - 1})""")
+def seed_parallel(spark, folder):
+    """Two starts; every center is a row of the table, found again by its values."""
+    p = points(spark, folder)
+    starts = seeding.seed_parallel(p, N_CLUSTERS, 2, SEED_ROUNDS, SEED_FACTOR)
+    rows = [(s, k, c.tolist()) for s, centers in enumerate(starts) for k, c in enumerate(centers)]
+    seeds = spark.createDataFrame(rows, "start int, k int, c array<double>")
+    found = seeds.join(p.select("row_id", F.col("embedding").cast("array<double>").alias("c")), "c")
+    return long_array(found, "c", "start", "k", "row_id")
+
+
 RESTARTS, RESTART_STEPS = 5, 4
 
 
@@ -381,10 +467,23 @@ def cluster_density(spark, folder):
     return density.cluster_density(assigned, NEIGHBORS, EPSILON).select("k", r6("density").alias("density"))
 
 
+MANY_NEIGHBORS = 2_000
+
+
+@query("cluster_density_large_k", _with(*sql_lloyd(STEPS)) + f"""
+SELECT k, {sround(f'1 / (avg(d) + {EPSILON})')} AS density FROM (SELECT k, d, row_number() OVER (PARTITION BY k ORDER BY d) AS rn
+  FROM (SELECT k % 2 AS k, d FROM a)) WHERE rn <= {MANY_NEIGHBORS} GROUP BY k""")
+def cluster_density_large_k(spark, folder):
+    """Two groups of clusters, so that at the larger scales they have more members than neighbors are asked for."""
+    p = points(spark, folder)
+    assigned = cluster.assign_nearest(p, _fit(p).centroids).withColumn("k", F.col("k") % 2)
+    return density.cluster_density(assigned, MANY_NEIGHBORS, EPSILON).select("k", r6("density").alias("density"))
+
+
 def _pushed(spark, folder, exclude):
     p = points(spark, folder)
     picks = materialize(select.with_embedding(_picks(p).select("k", "row_id"), p), "picks")
-    pushed = repulsion.repulsion(picks, repulsion.collect_anchors(picks), ALPHA, EPSILON, exclude)
+    pushed = repulsion.repulsion(picks, picks, ALPHA, EPSILON, exclude)
     return pushed.select("k", "row_id", r6("repulsion").alias("repulsion"))
 
 
@@ -427,6 +526,23 @@ def select_rows(spark, folder):
     return rows.withColumn("score", r6("score"))
 
 
+def _sql_spread(steps):
+    """Lloyd from the seeds of ``_sql_seeds``."""
+    parts = [E, FLAT, *_sql_seeds(), f"c0 AS MATERIALIZED (SELECT k::INTEGER AS k, x AS c FROM pick{N_CLUSTERS - 1})"]
+    for i in range(steps):
+        parts += [sql_assign(f"a{i}", f"c{i}"), sql_move(f"c{i + 1}", f"a{i}", f"c{i}")]
+    return parts + [sql_assign("a", f"c{steps}")]
+
+
+@query("select_spread", _with(*_sql_spread(STEPS), _DENSITY, _PICK, _push("p.k <> s.k")) + f"""
+SELECT row_id, k AS cluster, row_number() OVER (ORDER BY k)::INTEGER AS rank,
+       {sround(f'density - {LAMBDA} * {_FACTOR} * rep')} AS score FROM push JOIN dens USING (k)""")
+def select_spread(spark, folder):
+    """The default start: parallel seeding."""
+    rows = select.select_rows(points(spark, folder), "density", N_CLUSTERS, n_init=1, max_iter=STEPS, tol=0.0, **_OPTIONS)
+    return rows.withColumn("score", r6("score"))
+
+
 def _sql_per_point(rounds):
     parts = [
         "m AS MATERIALIZED (SELECT row_id, k, x FROM a JOIN e USING (row_id))",
@@ -456,6 +572,16 @@ def row_density(spark, folder):
     return density.row_density(assigned, NEIGHBORS, EPSILON).select("k", "row_id", r6("density").alias("density"))
 
 
+@query("row_density_small_blocks", _with(*sql_lloyd(STEPS), *_sql_per_point(1)) + f"""
+SELECT k, row_id, {sround('density')} AS density FROM r0""")
+def row_density_small_blocks(spark, folder):
+    """The same numbers with blocks of 24 rows: several pivots per cluster and visits in waves."""
+    p = points(spark, folder)
+    assigned = cluster.assign_nearest(p, _fit(p).centroids, keep=("embedding",))
+    dense = density.row_density(assigned, NEIGHBORS, EPSILON, block_rows=24)
+    return dense.select("k", "row_id", r6("density").alias("density"))
+
+
 @query("select_per_point", _with(*sql_lloyd(STEPS), *_sql_per_point(ROUNDS)) + f"""
 SELECT k AS cluster, row_id, {sround('density')} AS density, {sround('reg')} AS reg, {sround('u')} AS score
 FROM s{ROUNDS - 1}""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelpick.functions.random import uniform
 from labelpick.functions.vectors import one_hot
-from labelpick.operators import batches, cluster, heads, mixmatch, nn, project, select, sets
+from labelpick.operators import batches, cluster, heads, mixmatch, nn, project, select, sets, steps
 from labelpick.operators.metrics import label_weights
 from labelpick.plans.metric_queries import _MLP_SQL, mlp_layers
 from labelpick.plans.registry import (E, FLAT, HEAD_Z, LINEAR_Z, MU, N_CLASSES, N_CLUSTERS, N_HEADS, SCALE, _with,
@@ -18,6 +18,7 @@ from labelpick.plans.registry import (E, FLAT, HEAD_Z, LINEAR_Z, MU, N_CLASSES,
 from labelpick.plans.run import preset, run
 from labelpick.session import materialize, scratch_path
 from labelpick.sources.models import latest_weights, load_model, save_model
+from labelpick.sources.states import Resume
 
 _HEADS = _with(E, FLAT, MU, HEAD_Z, sql_softmax("q", "z", "row_id, head"),
                "best AS MATERIALIZED (SELECT row_id, head, max(p) AS max_prob, arg_min(target, {'p': -p, 't': target}) AS target, "
@@ -158,10 +159,10 @@ def head_scores(spark, folder):
     return heads.head_scores(p, fixed_heads(p)).withColumn("score", r6("score"))
 
 
-def _sql_head_epoch(n, w, ema):
+def _sql_head_epoch(n, w, ema, rows="e", flat="flat"):
     """Probabilities, losses and gradient of epoch ``n`` from weights ``w`` (head, target, j, w, b) and ``ema``."""
     return [
-        f"z{n} AS MATERIALIZED (SELECT row_id, head, target, sum(v * w) + any_value(b) AS z FROM flat JOIN {w} USING (j) "
+        f"z{n} AS MATERIALIZED (SELECT row_id, head, target, sum(v * w) + any_value(b) AS z FROM {flat} JOIN {w} USING (j) "
         f"GROUP BY row_id, head, target)",
         sql_softmax(f"q{n}", f"z{n}", "row_id, head"),
         f"top{n} AS MATERIALIZED (SELECT row_id, head, arg_min(target, {{'p': -p, 't': target}}) AS own, max(p) AS mp, "
@@ -172,8 +173,8 @@ def _sql_head_epoch(n, w, ema):
         f"z - 0.1 * ln(e) AS zz FROM q{n} q JOIN {ema} USING (head, target)))",
         f"aim{n} AS MATERIALIZED (SELECT row_id, head, target, p, log_p, w / sum(w) OVER (PARTITION BY row_id, head) AS t FROM soft{n})",
         f"loss{n} AS MATERIALIZED (SELECT (SELECT sum(CASE WHEN t > 0 THEN t * (ln(t) - log_p) ELSE 0 END) FROM aim{n}) / "
-        f"(SELECT count(*) FROM e) + coalesce((SELECT sum(l) FROM (SELECT avg(ce) AS l FROM share{n} GROUP BY head)), 0) AS loss)",
-        f"g{n} AS MATERIALIZED (SELECT a.row_id, a.head, a.target, (p - t) / (SELECT count(*) FROM e) + CASE WHEN s IS NULL THEN 0 "
+        f"(SELECT count(*) FROM {rows}) + coalesce((SELECT sum(l) FROM (SELECT avg(ce) AS l FROM share{n} GROUP BY head)), 0) AS loss)",
+        f"g{n} AS MATERIALIZED (SELECT a.row_id, a.head, a.target, (p - t) / (SELECT count(*) FROM {rows}) + CASE WHEN s IS NULL THEN 0 "
         f"ELSE s * (p - (a.target = o.own)::INTEGER) END AS g FROM aim{n} a LEFT JOIN (SELECT row_id, head, own, s FROM top{n} "
         f"JOIN share{n} USING (head, own)) o USING (row_id, head))",
     ]
@@ -206,6 +207,54 @@ def fit_heads(spark, folder):
         "epoch", r6("loss").alias("loss"), r6("validation").alias("validation"))
 
 
+# inputs with a constant 1 behind them, whose weight is the bias
+_BIASED = (f"flatb AS MATERIALIZED (SELECT row_id, label, v, j FROM flat UNION ALL SELECT row_id, label, 1.0::DOUBLE, {DIM} "
+           f"FROM e)")
+_HALF_SIZE = "(SELECT (count(*) + 1) // 2 FROM e)"
+
+
+def _sql_adam(n, keys):
+    """Weights s{n + 1} from s{n} (keys, w, m1, m2) and the gradient d{n} (keys, g)."""
+    return (f"s{n + 1} AS MATERIALIZED (SELECT {keys}, m1, m2, 0.0::DOUBLE AS b, w - 0.001 * (m1 / (1 - pow(0.9, {n + 1}))) / "
+            f"(sqrt(m2 / (1 - pow(0.999, {n + 1}))) + 1e-8) AS w FROM (SELECT {keys}, w, 0.9 * m1 + 0.1 * g AS m1, "
+            f"0.999 * m2 + 0.001 * g * g AS m2 FROM s{n} JOIN d{n} USING ({keys})))")
+
+
+def _sql_head_steps():
+    """One epoch of two steps, each over half of the rows; then the losses of all rows."""
+    parts = [E, FLAT, MU, _BIASED, sql_batches("deal", "e", _HALF_SIZE),
+             f"s0 AS MATERIALIZED (SELECT h.head, k AS target, unnest(range({DIM + 1})) AS j, unnest(list_append(c, 0)) * "
+             f"{SCALE} * (1 + h.head / 2.0::DOUBLE) AS w, 0.0::DOUBLE AS m1, 0.0::DOUBLE AS m2, 0.0::DOUBLE AS b FROM mu, "
+             f"(SELECT unnest(range({N_HEADS})) AS head) h)",
+             f"ema0 AS (SELECT head, target, 1.0::DOUBLE / {N_CLASSES} AS e FROM (SELECT unnest(range({N_HEADS})) AS head), "
+             f"(SELECT unnest(range({N_CLASSES})) AS target))"]
+    for n in range(2):
+        parts += [f"e{n} AS (SELECT row_id FROM deal WHERE batch = {n})",
+                  f"flat{n} AS MATERIALIZED (SELECT * FROM flatb WHERE row_id IN (SELECT row_id FROM e{n}))",
+                  *_sql_head_epoch(n, f"s{n}", f"ema{n}", f"e{n}", f"flat{n}"),
+                  f"d{n} AS MATERIALIZED (SELECT head, target, j, sum(g * v) AS g FROM g{n} JOIN flat{n} USING (row_id) "
+                  f"GROUP BY head, target, j)", _sql_adam(n, "head, target, j"),
+                  f"ema{n + 1} AS MATERIALIZED (SELECT head, target, m / sum(m) OVER (PARTITION BY head) AS e FROM (SELECT head, "
+                  f"target, 0.1 * any_value(e) + 0.9 * avg(p) AS m FROM q{n} JOIN ema{n} USING (head, target) GROUP BY head, target))"]
+    return parts + _sql_head_epoch(2, "s2", "ema2", "e", "flatb")
+
+
+@query("head_steps_2", _with(*_sql_head_steps()) + f"""
+SELECT 0 AS epoch, {sround('((SELECT loss FROM loss0) + (SELECT loss FROM loss1)) / 2')} AS loss,
+  {sround('(SELECT loss FROM loss2)')} AS validation, {sround('(SELECT sum(w * (j + 1)) FROM s2)')} AS weights,
+  {sround('(SELECT sum(e * e) FROM ema2)')} AS average""")
+def head_steps_2(spark, folder):
+    """One epoch of head training in two batches: losses, a sum over all weights, and the moved average."""
+    p = points(spark, folder)
+    fit, ema = heads.fit_heads(p, N_CLASSES, N_HEADS, epochs=1, validation=p, init=fixed_heads(p),
+                               batch_size=-(-p.count() // 2))
+    w, b = fit.params
+    total = float((w * (np.arange(DIM) + 1)[None, :, None]).sum() + (DIM + 1) * b.sum())
+    rows = [(i, x, y, total, float((ema * ema).sum())) for i, (x, y) in enumerate(zip(fit.losses, fit.validation))]
+    return spark.createDataFrame(rows, "epoch int, loss double, validation double, weights double, average double").select(
+        "epoch", *[r6(c).alias(c) for c in ("loss", "validation", "weights", "average")])
+
+
 @query("select_heads")
 def select_heads(spark, folder):
     return select.select_rows(points(spark, folder), "heads", N_CLUSTERS, epochs=5)
@@ -363,6 +412,63 @@ def adam_step(spark, folder):
     return spark.createDataFrame(rows, "i int, j int, value double").withColumn("value", r6("value"))
 
 
+def _sql_steps(rows):
+    """Softmax regression, one step over each of the given tables of row ids: weights s{n} and losses l{n}."""
+    parts = [_BIASED, f"s0 AS MATERIALIZED (SELECT k, unnest(range({DIM + 1})) AS j, unnest(list_append(c, 0)) * {SCALE} AS w, "
+                      f"0.0::DOUBLE AS m1, 0.0::DOUBLE AS m2 FROM mu)"]
+    for n, ids in enumerate(rows):
+        parts += [f"z{n} AS MATERIALIZED (SELECT row_id, any_value(label) AS label, s.k AS j, sum(f.v * w) AS z FROM flatb f "
+                  f"JOIN s{n} s USING (j) WHERE row_id IN (SELECT row_id FROM {ids}) GROUP BY row_id, s.k)",
+                  sql_softmax(f"q{n}", f"z{n}", "row_id"),
+                  f"d{n} AS MATERIALIZED (SELECT f.j, q.j AS k, sum((p - (q.label = q.j)::INTEGER) * f.v) / (SELECT count(*) "
+                  f"FROM {ids}) AS g FROM q{n} q JOIN flatb f USING (row_id) GROUP BY f.j, q.j)",
+                  f"l{n} AS MATERIALIZED (SELECT avg(-log_p) AS loss FROM q{n} WHERE j = label)", _sql_adam(n, "k, j")]
+    return parts
+
+
+def _sql_turned(name, epoch):
+    """The rows of ``deal`` in the two batches of an epoch."""
+    u = [sql_uniform(str(epoch), str(2 * steps.PLACES + i), steps.TURN_DRAW) for i in range(2)]
+    return (f"{name}_turn AS MATERIALIZED (SELECT rows, size, (SELECT min(x) FROM (SELECT unnest(range(from_, from_ + 1000)) AS x) "
+            f"WHERE gcd(x, rows) = 1) AS a, floor({u[1]} * rows)::BIGINT AS c FROM (SELECT count(*) AS rows, {_HALF_SIZE} AS size, "
+            f"1 + floor({u[0]} * (count(*) - 1))::BIGINT AS from_ FROM e)),\n"
+            f"{name} AS MATERIALIZED (SELECT row_id, (a * (batch * size + pos) + c) % rows // size AS batch FROM deal, {name}_turn)")
+
+
+def _weights(fit, *more):
+    """Weights and biases (i = DIM) in long form."""
+    w, b = fit.params
+    return [(i, j, float(v), *more) for (i, j), v in np.ndenumerate(np.vstack([w, b]))]
+
+
+@query("supervised_steps_2", _with(
+    E, FLAT, MU, sql_batches("deal", "e", _HALF_SIZE), _sql_turned("turned", 1),
+    *[f"{name}{n} AS (SELECT row_id FROM {name} WHERE batch = {n})" for name in ("deal", "turned") for n in range(2)],
+    *_sql_steps(["deal0", "deal1", "turned0", "turned1"])) + f"""
+SELECT j::INTEGER AS i, k::INTEGER AS j, {sround('w')} AS value, {sround('((SELECT loss FROM l0) + (SELECT loss FROM l1)) / 2')} AS
+  loss_0, {sround('((SELECT loss FROM l2) + (SELECT loss FROM l3)) / 2')} AS loss_1 FROM s4""")
+def supervised_steps_2(spark, folder):
+    """Two epochs of two steps each; the second epoch deals the rows into other batches."""
+    p = points(spark, folder)
+    fit = nn.fit_supervised(p, N_CLASSES, "single", epochs=2, init=fixed_layers(p), batch_size=-(-p.count() // 2))
+    rows = _weights(fit, *fit.losses)
+    return spark.createDataFrame(rows, "i int, j int, value double, loss_0 double, loss_1 double").select(
+        "i", "j", *[r6(c).alias(c) for c in ("value", "loss_0", "loss_1")])
+
+
+@query("training_resumed", _with(E, FLAT, MU, *_sql_steps(["e", "e"])) + f"""
+SELECT j::INTEGER AS i, k::INTEGER AS j, {sround('w')} AS value, {sround('(SELECT loss FROM l0)')} AS loss_0,
+  {sround('(SELECT loss FROM l1)')} AS loss_1 FROM s2""")
+def training_resumed(spark, folder):
+    """A training that is broken off after one epoch and goes on from its stored state equals two epochs."""
+    p, state = points(spark, folder), Resume(spark, scratch_path(spark, "states"))
+    for epochs in (1, 2):
+        fit = nn.fit_supervised(p, N_CLASSES, "single", epochs=epochs, init=fixed_layers(p), resume=state)
+    rows = _weights(fit, *fit.losses)
+    return spark.createDataFrame(rows, "i int, j int, value double, loss_0 double, loss_1 double").select(
+        "i", "j", *[r6(c).alias(c) for c in ("value", "loss_0", "loss_1")])
+
+
 _DROP_KEEP = f"({sql_uniform('row_id', 'k', nn.DROPOUT_DRAW + 2, 5)} >= 0.5)"
 
 

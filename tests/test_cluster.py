@@ -144,3 +144,93 @@ def test_cluster_density_uses_all_members_of_small_clusters(spark):
     rows = spark.createDataFrame([(1, 0, 2.0), (2, 0, 4.0), (3, 1, 0.0)], "row_id long, k int, d double")
     got = {r["k"]: r["density"] for r in density.cluster_density(rows, 10, 0.5).collect()}
     assert np.isclose(got[0], 1 / 3.5) and np.isclose(got[1], 2.0)
+
+
+@pytest.mark.parametrize("block_rows", [6, 17, 1000])
+def test_rows_leave_waves_early_and_pairs_are_reported(make_points, block_rows):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(0, 6, (12, 5))
+    x = np.concatenate([c + rng.normal(0, 0.4, (15, 5)) for c in centers])
+    x[:40] = x[0]  # copies
+    p = make_points(x)
+    seen, states = [], []
+
+    def write(df, name):
+        from labelpick.session import materialize
+        stored = materialize(df, name)
+        if name in ("own_block", "wave"):
+            states.append(stored)
+        return stored
+
+    assigned = cluster.assign_nearest(p, x.mean(0)[None], keep=("embedding",))
+    rows = density.row_density(assigned, 4, 1e-5, block_rows, write, seen).collect()
+    want = _brute_density(x, np.zeros(len(x), int), 4, 1e-5)
+    assert len(rows) == len(np.unique(x, axis=0))
+    assert all(np.isclose(r["density"], want[r["row_id"]], rtol=1e-9) for r in rows)
+    total = seen[0].all_pairs
+    if block_rows == 1000:
+        assert len(seen) == 1 and seen[0].pairs == total
+    else:
+        assert len(seen) > 1 and sum(v.pairs for v in seen) < 0.6 * total
+        assert all(a.rows >= 1 for a in seen)
+        for state in states:  # at most k distances per row are handed on
+            assert max(len(r["top"]) for r in state.collect()) <= 4
+
+
+def test_lower_bounds_hold():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 6))
+    pivots = x[:9]
+    dp = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(-1))
+    cell = dp.argmin(1)
+    lo = np.array([dp[cell == c].min(0) for c in range(9)])
+    hi = np.array([dp[cell == c].max(0) for c in range(9)])
+    between = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(-1))
+    bound = density.lower_bounds(dp, lo, hi, between)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for c in range(9):
+        assert (bound[:, c] <= d[:, cell == c].min(1)).all()
+    assert (bound > 0).any()
+
+
+@pytest.mark.parametrize("k", [1, 7, 1500])
+def test_cluster_density_for_any_k_sorts_no_cluster(spark, monkeypatch, k):
+    rng = np.random.default_rng(4)
+    cl, d = rng.choice([0, 0, 0, 0, 5, 9], 5000), rng.random(5000).round(3)
+    rows = spark.createDataFrame([(i, int(c), float(v)) for i, (c, v) in enumerate(zip(cl, d))],
+                                 "row_id long, k int, d double").repartition(20)
+    for per_core in (1, 40):
+        monkeypatch.setattr(density, "TASKS_PER_CORE", per_core)
+        table = density.cluster_density(rows, k, 0.1)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "MapInArrow" in plan
+        got = {r["k"]: r["density"] for r in table.collect()}
+        assert all(np.isclose(got[c], 1 / (np.sort(d[cl == c])[:k].mean() + 0.1)) for c in (0, 5, 9)) and len(got) == 3
+
+
+def test_minibatch_restarts_share_the_table_and_starved_centers_are_drawn_anew(make_points, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(m, 0.3, (60, 2)) for m in (0, 8, 16)])
+    p, dealt = make_points(x), []
+    whole = cluster.lay_out
+    monkeypatch.setattr(cluster, "lay_out", lambda *a: dealt.append(1) or whole(*a))
+    far = np.array([[0.0, 0], [500, 500], [600, 600]])  # two centers that never draw a row
+    starts = np.stack([far, x[[0, 60, 120]]])
+    kept = cluster.minibatch_kmeans(p, far, 45, max_passes=6, tol=0.0, reassign=0.0)
+    anew = cluster.minibatch_kmeans(p, far, 45, max_passes=6, tol=0.0)
+    both = cluster.minibatch_kmeans(p, starts, 45, max_passes=6, tol=0.0)
+    assert np.allclose(kept.centroids[1], [500, 500]) and anew.cost < 0.2 * kept.cost
+    assert both.cost <= cluster.minibatch_kmeans(p, starts[1], 45, max_passes=6, tol=0.0).cost + 1e-9
+    assert len(dealt) == 4  # once per fit, not per start
+
+
+def test_default_start_is_spread(make_points, blobs, monkeypatch):
+    calls = []
+    whole = cluster.seed_parallel
+    monkeypatch.setattr(cluster, "seed_parallel", lambda *a, **b: calls.append(1) or whole(*a, **b))
+    x, _ = blobs
+    for kind in ("lloyd", "fuzzy", "minibatch"):
+        cluster.fit_clusters(make_points(x), 3, kind, max_iter=2)
+    assert len(calls) == 3
+    with pytest.raises(ValueError, match="unknown clustering"):
+        cluster.fit_clusters(make_points(x), 3, "other")

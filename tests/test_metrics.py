@@ -92,3 +92,14 @@ def test_rows_without_prediction_are_not_lost(spark):
     assert {r["row_id"]: r["prediction"] for r in kept} == {1: 0, 2: None}
     with pytest.raises(Exception, match="no prediction for row 2"):
         metrics.align(truth, guess).collect()
+
+
+def test_two_predictions_for_one_row_are_an_error(spark):
+    truth = spark.createDataFrame([(1, 0), (2, 1)], "row_id long, label int")
+    twice = spark.createDataFrame([(1, 0), (2, 1), (2, 0)], "row_id long, prediction int")
+    with pytest.raises(Exception, match="more than one prediction for row 2"):
+        metrics.align(truth, twice).collect()
+    with pytest.raises(Exception, match="more than one prediction for row 2"):
+        metrics.align(truth, twice, missing="null").collect()
+    once = metrics.align(truth, twice.filter("row_id = 1"), missing="null").orderBy("row_id").collect()
+    assert [r["prediction"] for r in once] == [0, None]

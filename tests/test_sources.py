@@ -54,12 +54,22 @@ def test_stored_selection_is_reused(spark, tmp_path):
     for _ in range(3):
         got = selections.select_or_load(spark, path, "a", "density", compute)
     assert [r["row_id"] for r in got.collect()] == [5] and len(calls) == 1
-    with pytest.raises(ValueError, match="already stored"):
-        selections.select_or_load(spark, path, "a", "density", compute, recalculate=True)
     selections.select_or_load(spark, path, "b", "density", compute, recalculate=True)
     assert len(calls) == 2
 
 
+def test_recalculated_selection_is_a_new_version(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for n, wanted in enumerate([[5], [6, 7], [8]]):
+        rows = spark.createDataFrame([(i,) for i in wanted], "row_id long")
+        got = selections.select_or_load(spark, path, "a", "density", lambda rows=rows: rows, recalculate=n > 0)
+        assert sorted(r["row_id"] for r in got.collect()) == wanted
+    other = selections.select_or_load(spark, path, "a", "heads", lambda: spark.createDataFrame([(1,)], "row_id long"))
+    assert [r["row_id"] for r in other.collect()] == [1]
+    assert [r["row_id"] for r in selections.load_selection(spark, path, "a", "density").collect()] == [8]
+    assert spark.read.parquet(path).filter("method = 'density'").count() == 4  # older versions stay
+
+
 def test_newest_model_of_exactly_this_name(spark, tmp_path):
     path, w = str(tmp_path / "m"), np.arange(6.0).reshape(2, 3)
     for hour, name, factor in ((2, "net", 2), (1, "net", 1), (3, "net-t", 3)):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from labelpick.functions import kernels as K
 from labelpick.operators import batches, heads, mixmatch, nn, project, scale, select, sets
 from labelpick.plans.run import PRESETS, preset, run
+from labelpick.sources.states import Resume
 
 
 @pytest.fixture(scope="module")
@@ -280,6 +281,103 @@ def test_complete_run(spark, blobs, tmp_path, method, task):
         run(spark, data, store, "r1", config, "other")
 
 
+@pytest.fixture
+def run_table(spark, blobs):
+    x, y = blobs
+    part = ["train"] * 70 + ["val"] * 20 + ["test"] * 10
+    hot = np.eye(3, dtype=int)[y].tolist()
+    return spark.createDataFrame([(i, v.tolist(), h, s) for i, (v, h, s) in enumerate(zip(x, hot, part))],
+                                 "row_id long, embedding array<double>, label array<int>, dataset string")
+
+
+def test_supervised_run_weights_labels_and_projection_shows_the_picks(spark, run_table, tmp_path):
+    config = preset("density", "multi", n_classes=3, n_clusters=25, n_init=1, clustering="lloyd", epochs=2, hidden=(5,),
+                    classifier="supervised", batch_size=8)
+    store = str(tmp_path / "store")
+    picked = {r["row_id"] for r in run(spark, run_table, store, "a", config, "train").collect()}
+    assert run(spark, run_table, store, "a", config, "eval").count() > 0
+    shown = run(spark, run_table, store, "a", config, "project").collect()
+    assert len(shown) == 70 and {r["row_id"] for r in shown if r["selected"]} == picked
+    with pytest.raises(ValueError, match="unknown classifier"):
+        run(spark, run_table, store, "b", preset("density", "multi", n_classes=3, n_clusters=5, n_init=1, epochs=1,
+                                                 classifier="other"), "train")
+
+
+def test_models_and_selections_belong_to_their_run(spark, run_table, tmp_path):
+    store = str(tmp_path / "store")
+    config = preset("density", "multi", n_classes=3, n_clusters=6, n_init=1, epochs=1, hidden=(4,))
+    run(spark, run_table, store, "a", config, "train")
+    with pytest.raises(FileNotFoundError):
+        run(spark, run_table, store, "b", config, "eval")
+    run(spark, run_table, store, "b", preset("density", "multi", n_classes=3, n_clusters=6, n_init=1, epochs=1, hidden=(4,),
+                                             seed=9), "train")
+    before = run(spark, run_table, store, "a", config, "eval").collect()
+    other = preset("density", "multi", n_classes=3, n_clusters=3, n_init=1, epochs=1, hidden=(4,), recalculate=True)
+    assert run(spark, run_table, store, "a", other, "train").count() == 3
+    assert run(spark, run_table, store, "a", config, "eval").columns == run(spark, run_table, store, "a", config, "test").columns
+    assert len(before) > 0
+
+
+def test_training_goes_on_from_a_stored_state(spark, make_points, blobs, tmp_path):
+    x, y = blobs
+    p = make_points(x, labels=list(y))
+    options = dict(hidden=(5,), batch_size=16, batches_per_step=2, validation=p, seed=3)
+    whole = nn.fit_supervised(p, 3, "single", epochs=4, **options)
+    state = Resume(spark, str(tmp_path / "state"))
+    for epochs in (1, 3, 3, 4):
+        fit = nn.fit_supervised(p, 3, "single", epochs=epochs, resume=state, **options)
+        assert len(fit.losses) == epochs
+    assert np.allclose(fit.losses, whole.losses) and np.allclose(fit.validation, whole.validation)
+    assert all(np.allclose(a, b) for a, b in zip(fit.params, whole.params))
+    assert state._epochs() == [3, 4]
+
+
+def test_a_half_written_state_does_not_count(spark, make_points, tmp_path):
+    state = Resume(spark, str(tmp_path / "state"))
+    assert state.load() is None
+    arrays = {"params": [np.ones((2, 3))], "best": [np.ones((2, 3))], "losses": np.array([0.5]), "checks": np.zeros(0),
+              "counters": np.array([0.0, 1.0]), "mean": [], "square": [], "extra": {"ema": np.eye(2)}}
+    state.save(arrays)
+    (tmp_path / "state" / "epoch-2").mkdir()
+    got = state.load()
+    assert got["losses"].tolist() == [0.5] and got["checks"].size == 0 and got["params"][0].shape == (2, 3)
+    assert got["extra"]["ema"].tolist() == [[1, 0], [0, 1]]
+
+
+def test_head_training_resumes_with_its_average(spark, make_points, blobs, tmp_path):
+    p = make_points(blobs[0])
+    state = Resume(spark, str(tmp_path / "state"))
+    whole, ema = heads.fit_heads(p, 4, 2, epochs=3, batch_size=30, validation=p)
+    heads.fit_heads(p, 4, 2, epochs=1, batch_size=30, validation=p, resume=state)
+    fit, again = heads.fit_heads(p, 4, 2, epochs=3, batch_size=30, validation=p, resume=state)
+    assert np.allclose(ema, again) and np.allclose(fit.losses, whole.losses)
+    assert all(np.allclose(a, b) for a, b in zip(fit.params, whole.params))
+
+
+def test_early_stop_is_remembered(spark, make_points, blobs, tmp_path):
+    x, y = blobs
+    p = make_points(x, labels=list(y))
+    state = Resume(spark, str(tmp_path / "state"))
+    options = dict(hidden=(4,), validation=p, patience=2, lr=-0.05, resume=state)  # a step the wrong way: gets worse
+    first = nn.fit_supervised(p, 3, "single", epochs=10, **options)
+    again = nn.fit_supervised(p, 3, "single", epochs=10, **options)
+    assert first.stopped_early and again.stopped_early and again.losses == first.losses and len(first.losses) < 10
+
+
+def test_labeled_batches_are_dealt_anew_every_epoch(spark, make_points):
+    from labelpick.operators.batches import batches
+
+    rows = batches(make_points(np.arange(20).reshape(10, 2)), 4, 0)
+    got = mixmatch.redealt(rows, range(0, 4), 4, 10).collect()
+    dealt = {(r["row_id"]): (r["batch"], r["pos"]) for r in rows.collect()}
+    orders = {}
+    for epoch in range(4):
+        mine = {r["row_id"]: (r["batch"], r["pos"]) for r in got if r["epoch"] == epoch}
+        assert len(mine) == 10 and sorted(mine.values()) == sorted(dealt.values())
+        orders[epoch] = mine
+    assert orders[0] == dealt and len({tuple(sorted(o.items())) for o in orders.values()}) > 1
+
+
 def test_presets_cover_all_tasks():
     assert {(m, t) for m, t in PRESETS} == {(m, t) for m in ("density", "heads") for t in ("single", "multi", "onehot")}
     assert all(c.method == m and c.task == t for (m, t), c in PRESETS.items())
