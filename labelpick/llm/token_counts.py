@@ -1,94 +1,126 @@
 """Token counts of documents of any length, by overlap resynchronisation.
 
-A document is encoded in chunks that overlap. Every chunk is encoded by itself into words with offsets and the token
-count of each word, as the tokenizers library gives it. Two neighbouring chunks are spliced at an offset that both show
-as the start of a word behind white space. No token of these tokenizers spans ASCII white space, and neither their
-normaliser nor their splitting pattern looks across it, so the tokens on either side of such an offset do not depend on
-where the chunks were cut: the boundary is proven, not guessed. If the overlap holds no such offset (one very long run
-without white space), the overlap is widened until it does or the document ends.
-
-Only ASCII white space is used for the proof. Other white space stays inside a word and is left to the library.
+The library encodes a text of up to ``chunk_chars`` characters as a whole, and a longer one in chunks that overlap, with
+the offsets of all tokens. Two neighbouring chunks are compared token by token inside their overlap: from the first offset
+at which both have a token that starts behind ASCII white space, up to the last one, ids and offsets must be the same.
+Then they are spliced at the last one. Such an offset is proven stable, not guessed: no token of these tokenizers spans
+ASCII white space, and neither normaliser nor splitting pattern looks across it, so the tokens to its left are those that
+the left chunk shows, and the tokens to its right those of the right chunk, wherever chunks are cut.
+
+If the overlap holds no such offset (a long run without white space), or the tokens differ, the left chunk is encoded anew
+with an overlap twice as wide, until they align or the text ends.
+
+Only ASCII white space is used for the proof. Other white space is left to the library.
 """
 
 from __future__ import annotations
 
-import re
+import os
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from labelpick.llm.common import file_text, holder, slices, texts
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-START = re.compile(r"[\x20\x09-\x0D](?=[^\x20\x09-\x0D])")
-# Words whose token counts a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+BLANK = frozenset(" \t\n\v\f\r")
+# Text that is given to the library at once; encodings take many times as much memory.
+BATCH_BYTES = 1 << 19
 SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-class WordCounter:
-    """Token counts of words by the library, each distinct word encoded once while it is remembered."""
-
-    def __init__(self, tokenizer, known: dict[bytes, int]):
-        self.tokenizer, self.known = tokenizer, known
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        for start in range(0, len(new), 20_000):
-            part = new[start:start + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, map(len, found)))
-
-    def total(self, words: list[bytes]) -> int:
-        return sum(map(self.known.__getitem__, words))
+@dataclass
+class Chunk:
+    """Tokens of text[start:end], with the offsets of their starts in the whole text."""
+    start: int
+    end: int
+    ids: list[int]
+    at: list[int]
 
 
-def chunk_words(text: str, start: int, end: int) -> list[tuple[int, bytes]]:
-    """Words of one chunk with their offsets in the document."""
-    return [(m.start(), m[0].encode()) for m in WORD.finditer(text, start, end)]
+Encode = Callable[[list[tuple[int, int]]], list[Chunk]]
 
 
-def common_boundary(text: str, start: int, end: int) -> int | None:
-    """The last offset in (start, end) at which a word starts behind white space that lies inside the overlap.
+def splice_point(text: str, left: Chunk, right: Chunk) -> int | None:
+    """The last stable offset that both chunks show as the start of a token, if all tokens before it agree too.
 
-    Both chunks hold the white space and the offset, so both see the same word start there.
+    Tokens are compared from the first stable offset in the overlap on; before it, the right chunk may have begun inside a
+    word. None if there is no such offset or if the tokens in between differ.
     """
-    found = None
-    for m in START.finditer(text, start, end):
-        found = m.end()
-    return found
-
-
-def splice(text: str, chunk_chars: int, overlap: int) -> list[list[bytes]]:
-    """Words of each chunk, cut at the common boundaries: together exactly the words of the text."""
-    parts, start, skip_before = [], 0, 0
-    while True:
-        end, width = start + chunk_chars, overlap
-        boundary = None
-        while end < len(text):
-            boundary = common_boundary(text, max(end - width, skip_before), end)
-            if boundary is not None:
-                break
-            end, width = end + width, 2 * width  # alignment failed: a wider overlap further on
-        words = chunk_words(text, start, min(end, len(text)))
-        stop = len(text) if boundary is None else boundary
-        parts.append([w for at, w in words if skip_before <= at < stop])
-        if boundary is None:
-            return parts
-        # the next chunk starts where the overlap starts; what lies before the boundary is this chunk's
-        start, skip_before = max(end - width, start + 1), boundary
+    def stable(chunk: Chunk) -> list[int]:
+        first, last = bisect_left(chunk.at, right.start + 1), bisect_left(chunk.at, left.end)
+        return [p for p in chunk.at[first:last] if text[p - 1] in BLANK and text[p] not in BLANK]
+
+    both = sorted(set(stable(left)) & set(stable(right)))
+    if not both:
+        return None
+    a, b = (slice(bisect_left(c.at, both[0]), bisect_left(c.at, both[-1])) for c in (left, right))
+    same = left.ids[a] == right.ids[b] and left.at[a] == right.at[b]
+    return both[-1] if same else None
+
+
+def spliced(text: str, encode: Encode, chunk_chars: int, overlap: int) -> Iterator[list[int]]:
+    """Ids of a text, chunk by chunk: together exactly those of the whole text."""
+    step = chunk_chars - overlap
+    spans = [(s, min(s + chunk_chars, len(text))) for s in range(0, max(len(text) - overlap, 1), step)]
+    ready = dict(zip([s for s, _ in spans], encode(spans)))
+    left, done, width = ready.pop(0), 0, overlap
+    right = None
+    while left.end < len(text):
+        if right is None or left.end >= right.end:  # the left chunk has outgrown its neighbour
+            start = left.end - overlap
+            right = ready.pop(start, None) or encode([(start, min(start + chunk_chars, len(text)))])[0]
+        point = splice_point(text, left, right)
+        if point is None or point <= done:
+            left = encode([(left.start, min(left.end + width, len(text)))])[0]
+            width *= 2
+            continue
+        yield left.ids[bisect_left(left.at, done):bisect_left(left.at, point)]
+        left, right, done, width = right, None, point, overlap
+    yield left.ids[bisect_left(left.at, done):]
+
+
+def chunk_encoder(tokenizer, text: str) -> Encode:
+    def encode(spans: list[tuple[int, int]]) -> list[Chunk]:
+        out = []
+        for first in range(0, len(spans), 16):
+            some = spans[first:first + 16]
+            found = tokenizer.encode_batch([text[s:e] for s, e in some], add_special_tokens=False)
+            out += [Chunk(s, e, f.ids, [s + a for a, _ in f.offsets]) for (s, e), f in zip(some, found)]
+        return out
+    return encode
+
+
+def token_sizes(tokenizer, rows: list[str], chunk_chars: int, overlap: int) -> list[int]:
+    """How many tokens each text has."""
+    sizes = [0] * len(rows)
+    short = [i for i, text in enumerate(rows) if 0 < len(text) <= chunk_chars]
+    at = 0
+    while at < len(short):
+        stop, held = at, 0
+        while stop < len(short) and (stop == at or held + len(rows[short[stop]]) <= BATCH_BYTES):
+            held += len(rows[short[stop]])
+            stop += 1
+        some = short[at:stop]
+        for i, found in zip(some, tokenizer.encode_batch_fast([rows[i] for i in some], add_special_tokens=False)):
+            sizes[i] = len(found)
+        at = stop
+    for i, text in enumerate(rows):
+        if len(text) > chunk_chars:
+            sizes[i] = sum(map(len, spliced(text, chunk_encoder(tokenizer, text), chunk_chars, overlap)))
+    return sizes
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id",
                  text_col: str = "text", chunk_chars: int = 16_384, overlap: int = 256) -> DataFrame:
     """Bytes and tokens of every text: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
-    The tokenizer's default handling of special strings inside texts applies; none is added. Null and empty texts have
-    no bytes and no tokens. Rows are independent: repeated ids and null ids give one row each. Other columns are ignored.
+    The tokenizer's default handling of special strings inside texts applies; none is added, nothing is cut or padded.
+    Null and empty texts have no bytes and no tokens. Very long texts are encoded chunk by chunk. Rows are independent:
+    repeated ids and null ids give one row each. Other columns are ignored.
     """
     if not 0 < overlap < chunk_chars:
         raise ValueError("overlap must be above 0 and below chunk_chars")
@@ -97,24 +129,21 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     def count(batches):
         state = holder("token_counts")
         if state.get("of") != hash(file.value):
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
+            tokenizer = Tokenizer.from_str(file.value)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
             state.clear()
-            state.update(of=hash(file.value), counter=WordCounter(Tokenizer.from_str(file.value), {}))
-        counter = state["counter"]
+            state.update(of=hash(file.value), tokenizer=tokenizer)
         for batch in slices(batches, "text", SLICE_BYTES):
-            rows, seen, sizes = [], set(), []
-            for text in texts(batch.column("text")):
-                raw = text.encode()
-                sizes.append(len(raw))
-                parts = [raw.split()] if len(text) <= chunk_chars else splice(text, chunk_chars, overlap)
-                rows.append(parts)
-                seen.update(*parts)
-            counter.learn(seen)
-            tokens = [sum(map(counter.total, parts)) for parts in rows]
+            rows = texts(batch.column("text"))
+            tokens = token_sizes(state["tokenizer"], rows, chunk_chars, overlap)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()),
-                 pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                [batch.column("doc_id"), pa.array([len(t.encode()) for t in rows], pa.int64()),
+                 pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return (docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
             .mapInArrow(count, SCHEMA))
