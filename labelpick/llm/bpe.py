@@ -25,7 +25,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 
 from labelpick.llm.blocks import (expand, gather, numbered, pack, received_words, send_words, squeeze, store_by_block,
                                   unpack, word_shards)
-from labelpick.llm.common import apart, file_text, holder, slices, texts
+from labelpick.llm.common import apart, file_text, holder, named, slices, texts
 
 BLOCK_BYTES = 4 << 20
 CHUNK_UNITS = 100_000
@@ -168,8 +168,9 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     """``docs`` with the text replaced by its ids: binary, little-endian unsigned 32-bit numbers.
 
     Special strings inside texts are handled as the library does by default, none is added, nothing is cut or padded.
-    Null and empty texts have no ids. Rows are independent of each other, ids of documents may repeat or be null.
-    ``decode`` gives the text back.
+    Null, empty and very long texts are texts like others; the first two have no ids. Rows are independent of each other,
+    ids of documents may repeat or be null. A column of ``docs`` that is called ``ids_col`` is replaced. ``decode`` gives
+    the text back.
     """
     file = file_text(docs.sparkSession, tokenizer_path)
     schema = StructType([apart(docs, text_col).schema["row"], StructField("ids", BinaryType())])
@@ -178,7 +179,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
         return pa.table({"row": rows["row"], "ids": pa.array(ids, pa.binary())})
 
     done = _encoded(docs, file, special_tokens(json.loads(file.value)), text_col, finish, schema)
-    return done.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != text_col], F.col("ids").alias(ids_col))
+    return done.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in (text_col, ids_col)],
+                       F.col("ids").alias(ids_col))
 
 
 def pieces(vocabulary: dict) -> list[bytes]:
@@ -215,7 +217,11 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_c
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Repeated and null ids give one row each."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Repeated and null ids give one row each.
+
+    Null and empty texts have no tokens; very long texts are encoded whole. Other columns are ignored. The join of ids with
+    their pieces is a lookup in a shipped list with one entry per id of the vocabulary.
+    """
     file = file_text(docs.sparkSession, tokenizer_path)
     vocabulary = json.loads(file.value)
     table = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary))
@@ -233,12 +239,17 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text replaced by n_tokens, ids and lossless: whether the decoded ids give the text (null: empty)."""
+    """``docs`` with the text replaced by n_tokens, ids and lossless: whether the decoded ids give the text.
+
+    A null text counts as empty: no ids, lossless. Very long texts are encoded whole. Columns of ``docs`` that are called
+    n_tokens, ids or lossless are replaced, others stay as they are.
+    """
     file = file_text(docs.sparkSession, tokenizer_path)
     vocabulary = json.loads(file.value)
     table = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    others = [docs[c] for c in docs.columns if c != text_col]
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    kept = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "lossless")]
+    others = [named(c) for c in kept]
     rows = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), F.sha2(text.cast("binary"), 256).alias("of"),
                        text.alias("text"))
     inner = apart(rows, "text")
@@ -252,5 +263,4 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> Da
                          "ids": pa.array(ids, pa.binary()), "lossless": pa.array(same, pa.bool_())})
 
     done = _encoded(rows, file, special_tokens(vocabulary), "text", finish, schema)
-    return done.select(*[F.col("row.row")[c].alias(c) for c in docs.columns if c != text_col], "n_tokens", "ids",
-                       "lossless")
+    return done.select(*[F.col("row.row")[c].alias(c) for c in kept], "n_tokens", "ids", "lossless")

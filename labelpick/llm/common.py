@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelpick.session import materialize
 
-__all__ = ["apart", "crc_bucket", "documents", "file_text", "holder", "materialize", "slices", "text_bytes", "texts",
+__all__ = ["apart", "crc_bucket", "documents", "file_text", "holder", "materialize", "named", "slices", "text_bytes", "texts",
            "together", "words_of"]
 
 # Largest vocabulary file that is shipped to the executors.
@@ -41,10 +41,15 @@ def crc_bucket(column: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(value.cast("string"), F.lit(""))), F.lit(n))
 
 
+def named(column: str) -> Column:
+    """A column by its plain name, which may hold dots and other marks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def apart(docs: DataFrame, text_col: str) -> DataFrame:
     """(row, text): all other columns as one struct, so that their names can't clash with those of an operator."""
-    others = [docs[c] for c in docs.columns if c != text_col]
-    return docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), docs[text_col].cast("string").alias("text"))
+    others = [named(c) for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), named(text_col).cast("string").alias("text"))
 
 
 def together(done: DataFrame, columns: list[str], text_col: str) -> DataFrame:

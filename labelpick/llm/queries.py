@@ -29,6 +29,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# ---- pieces of SQL ----------------------------------------------------------------------------------------------------
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# the table of crc32, and the crc32 of a list of bytes
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"""
+CRC = "xor(list_reduce({}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def sql_bytes(text: str) -> str:
+    return f"list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')[:-2], " \
+           "lambda x: ('0x' || x)::BIGINT)"
+
+
+def sql_words(text: str) -> str:
+    """Words of a text; null has none."""
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+            "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+# ---- queries ----------------------------------------------------------------------------------------------------------
+
 @query("op1_lm_scores")
 def op1_lm_scores(spark, folder):
     return lm_scores.score_documents(documents(spark, folder), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
@@ -77,7 +99,34 @@ def op2_preferences(spark, folder):
     return preferences.format_pairs(preferences.neighbour_pairs(turns))
 
 
-@query("op3_line_dedup")
+OP3_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+line AS MATERIALIZED (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+key AS MATERIALIZED (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  '{UPPER}', '{LOWER}') AS key FROM line),
+often AS MATERIALIZED (SELECT key FROM key WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (o.key IS NULL), '')) AS kept_sha256
+FROM key LEFT JOIN often o USING (key) GROUP BY r
+"""
+
+OP7_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {sql_words('text')} AS w FROM documents),
+b AS MATERIALIZED (SELECT coalesce(item_id::VARCHAR, '') AS item, {sql_words('text')} AS w FROM benchmark),
+bw AS MATERIALIZED (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS part FROM (SELECT item, w, least(len(w), 10) AS k,
+  unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS part FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i
+  FROM d, (SELECT DISTINCT k FROM bw))),
+hit AS MATERIALIZED (SELECT r, i, k, item FROM dw JOIN bw USING (k, part)),
+place AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
+item AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(place.n, 0) AS n_hit, coalesce(item.n, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(place.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN place USING (r) LEFT JOIN item USING (r)
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
 def op3_line_dedup(spark, folder):
     return line_dedup.line_report(documents(spark, folder), min_docs=10, min_chars=1)
 
@@ -97,7 +146,7 @@ def op6_topk(spark, folder):
     return topk.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), k=5, every=50)
 
 
-@query("op7_decontaminate")
+@query("op7_decontaminate", OP7_SQL)
 def op7_decontaminate(spark, folder):
     return decontaminate.scan_benchmark(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"),
                                         window=10)
@@ -119,26 +168,6 @@ def op10_bpe(spark, folder):
     return bpe.round_trip(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"))
 
 
-# ---- pieces of SQL ----------------------------------------------------------------------------------------------------
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# the table of crc32, and the crc32 of a list of bytes
-CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
-    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"""
-CRC = "xor(list_reduce({}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
-
-
-def sql_bytes(text: str) -> str:
-    return f"list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')[:-2], " \
-           "lambda x: ('0x' || x)::BIGINT)"
-
-
-def sql_words(text: str) -> str:
-    """Words of a text; null has none."""
-    return (f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
-            "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
-
-
 def sql_sketch(words: str) -> str:
     """The sorted digests of a text's sketch, from its words."""
     run = " || ' ' || ".join(f"{words}[i + {j}]" for j in range(sketch.SHINGLE))
