@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from labelpick.llm.blocks import (expand, gather, numbered, pack, received_words, send_words, squeeze, store_by_block,
                                   unpack, word_shards)
@@ -201,19 +201,25 @@ def decoded(ids: bytes, table: list[bytes]) -> bytes:
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``encoded`` with a text column of the decoded ids, special tokens included; null ids give the empty text."""
+    """``encoded`` with a text column of the decoded ids, special tokens included; null ids give the empty text.
+
+    A column of ``encoded`` that is called ``text_col`` is replaced, others stay as they are.
+    """
     file = file_text(encoded.sparkSession, tokenizer_path)
     table = encoded.sparkSession.sparkContext.broadcast(pieces(json.loads(file.value)))  # one entry per id
     columns = encoded.columns
-    schema = encoded.withColumn(text_col, F.lit("")).schema
+    others = F.struct(*[named(c) for c in columns], F.lit(0).alias("_")).alias("row")
+    inner = encoded.select(others, named(ids_col).alias("ids"))
 
     def run(batches):
-        for batch in slices(batches, ids_col, 4 << 20):
-            out = pa.array([decoded(ids or b"", table.value) for ids in batch.column(ids_col).to_pylist()], pa.binary())
-            arrays = dict(zip(columns, batch.columns)) | {text_col: out.cast(pa.string())}
-            yield pa.RecordBatch.from_arrays([arrays[f.name] for f in schema], [f.name for f in schema])
-
-    return encoded.mapInArrow(run, schema)
+        for batch in slices(batches, "ids", 4 << 20):
+            out = pa.array([decoded(ids or b"", table.value) for ids in batch.column("ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), out.cast(pa.string())], ["row", "text"])
+
+    done = inner.mapInArrow(run, StructType([inner.schema["row"], StructField("text", StringType())]))
+    text = F.col("text").alias(text_col)
+    return done.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in columns],
+                       *([] if text_col in columns else [text]))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
