@@ -30,7 +30,7 @@ _START = {"sum": 0.0, "min": np.inf, "max": -np.inf}
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _merged(parts: DataFrame, keys: list[str], how: str) -> DataFrame:
+def add_chunks(parts: DataFrame, keys: list[str], how: str) -> DataFrame:
     """(keys, pos, v): chunks are shuffled as they are; their entries are added up where they arrive."""
     return (parts.repartition(*keys).select(*keys, F.posexplode("v").alias("pos", "v"))
             .groupBy(*keys, "pos").agg(_MERGE[how]("v").alias("v")))
@@ -60,8 +60,8 @@ def partial_sums(df: DataFrame, shapes: dict[str, tuple[int, ...]], fold: Fold,
     parts = df.coalesce(tasks).mapInArrow(run, _SCHEMA)
     if teams > 8:  # up to 64 tasks, one merge adds no more parts than each of two would
         entries = F.array_sort(F.collect_list(F.struct("pos", "v")))
-        parts = _merged(parts, ["chunk", "team"], how).groupBy("chunk", "team").agg(entries["v"].alias("v"))
-    return _merged(parts, ["chunk"], how)
+        parts = add_chunks(parts, ["chunk", "team"], how).groupBy("chunk", "team").agg(entries["v"].alias("v"))
+    return add_chunks(parts, ["chunk"], how)
 
 
 def collect_sums(df: DataFrame, shapes: dict[str, tuple[int, ...]], fold: Fold,
