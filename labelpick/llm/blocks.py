@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpick.llm.common import materialize, slices
+from labelpick.llm.common import holder, materialize, slices, tidy
 from labelpick.session import scratch_path
 
 BLOCK_BYTES = 8 << 20
@@ -53,11 +53,13 @@ def write_blocks(docs: DataFrame, encode: Callable, extra: str, name: str, text_
     schema = f"block long, pack binary, {extra}"
 
     def run(batches):
+        holder(name)
         for block, batch in numbered(batches, text_col, max_bytes):
             packed, values = encode(batch)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([pack(packed)], pa.binary()), *values],
                 ["block", "pack", *names])
+        tidy()
 
     return materialize(docs.mapInArrow(run, schema), name)
 

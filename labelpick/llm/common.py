@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from labelpick.session import materialize
 
 __all__ = ["apart", "crc_bucket", "documents", "file_text", "holder", "materialize", "named", "slices", "text_bytes", "texts",
-           "together", "words_of"]
+           "tidy", "together", "words_of"]
 
 # Largest vocabulary file that is shipped to the executors.
 FILE_BYTES_LIMIT = 64 * 1024 * 1024
@@ -76,14 +76,19 @@ def holder(name: str) -> dict:
     held = module.__dict__.setdefault("held", {})
     if name not in held:
         held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
+        tidy()
     return held.setdefault(name, {})
 
 
+def tidy() -> None:
+    """Give memory that is no longer used back to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of an Arrow column; null gives the empty text."""
     return [x or "" for x in column.to_pylist()]

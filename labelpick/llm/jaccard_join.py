@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelpick.llm.blocks import numbered
-from labelpick.llm.common import apart, holder, materialize, text_bytes, together, words_of
+from labelpick.llm.common import apart, holder, materialize, slices, text_bytes, tidy, together, words_of
 from labelpick.llm.components import components
 
 BANDS, ROWS = 48, 5
 STEP = 16  # MinHash values compared at a time
 SLICE_BYTES = 4 << 20
 TILE = 512
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _rng = np.random.default_rng(20240611)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -184,6 +184,7 @@ def _signatures(rows: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(uid, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "uid", "digest", "keys"])
+        tidy()
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -229,7 +230,7 @@ def _links(units: DataFrame, n: int, threshold: float, tolerance: float) -> Data
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(reached)],
                                               ["node", "links", "reached"])
 
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             keys = zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b")))
             rows = zip(*(batch.column(c).to_pylist() for c in ("node", "size", "tile")), text_bytes(batch.column("text")))
             for key, row in zip(keys, rows):
@@ -240,6 +241,8 @@ def _links(units: DataFrame, n: int, threshold: float, tolerance: float) -> Data
                 held.append(row)
         if held:
             yield flush()
+            held = []
+        tidy()
 
     return units.mapInArrow(run, "node long, links long, reached long")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelpick.llm.blocks import unpack, write_blocks
-from labelpick.llm.common import apart, materialize, text_bytes, together
+from labelpick.llm.common import apart, holder, materialize, text_bytes, together
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -251,6 +251,7 @@ class LineIndex:
         shipped = self.spark.sparkContext.broadcast(data)
 
         def probe(batches):
+            holder("line_blocks")
             filters = {shard: Cuckoo.load(x) for shard, x in shipped.value.items()}
             for batch in batches:
                 shard = batch.column("shard").to_numpy()
