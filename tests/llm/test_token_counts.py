@@ -95,3 +95,21 @@ def test_differing_tokens_are_no_splice():
 def test_bad_overlap_is_refused(spark):
     with pytest.raises(ValueError):
         token_counts.count_tokens(empty(spark), "x", chunk_chars=10, overlap=10)
+
+
+def test_short_way_gives_the_same_tokens(library):
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as file:
+        both = token_counts.Tokenizers(file.read())
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(1, 0x250) if chr(c).isprintable() or c < 33] + ["'s", "'LL", " ", " ", "12", "<|"]
+    texts = [t or "" for _, t in corpus()] + TEXTS
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(300)]
+    texts += ["a <|ENDOFTEXT|> b", "<|endoftext|>", "\u0130stanbul", "e\u0301 A\u030a", "ΟΔΟΣ", "É\x85È\xa0Ê"]
+    light = 0
+    for text in texts:
+        tokenizer, given = both.of(text)
+        want, got = library.encode(text, add_special_tokens=False), tokenizer.encode(given, add_special_tokens=False)
+        assert got.ids == want.ids and got.offsets == want.offsets
+        light += tokenizer is both.light
+    assert light > 200
+    assert all(both.of(t)[0] is both.whole for t in ("a <|ENDOFTEXT|>", "\u0130", "e\u0301", "Σ"))
