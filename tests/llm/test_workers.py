@@ -10,8 +10,8 @@ import pytest
 
 ROOT = pathlib.Path(__file__).resolve().parents[2]
 NAMES = ["op3_line_dedup", "op4_jaccard_join", "op6_topk", "op7_decontaminate", "op8_toxicity", "op9_secrets",
-         "op11_fingerprints", "op12_resample", "op13_manifest", "op5_token_counts", "op10_bpe", "lloyd_3", "seed_parallel",
-         "row_density_small_blocks", "minibatch_restarts", "supervised_steps_2"]
+         "op11_fingerprints", "op12_resample", "op13_manifest", "op5_token_counts", "op10_bpe", "seed_parallel",
+         "row_density_small_blocks", "supervised_steps_2"]
 
 SCRIPT = """
 import sys
