@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from labelpick.session import materialize
 
-__all__ = ["apart", "crc_bucket", "documents", "file_text", "holder", "materialize", "named", "slices", "text_bytes", "texts",
-           "tidy", "together", "words_of"]
+__all__ = ["apart", "crc_bucket", "documents", "file_text", "holder", "materialize", "named", "slices", "small_batches",
+           "text_bytes", "texts", "tidy", "together", "words_of"]
 
 # Largest vocabulary file that is shipped to the executors.
 FILE_BYTES_LIMIT = 64 * 1024 * 1024
+# Most bytes of an Arrow batch of texts (or one longer row).
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 # A-Z to lower case, every other ASCII byte that is no letter or digit to a blank
@@ -46,8 +48,17 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most BATCH_BYTES in this session, on both sides of the pipe to a Python worker.
+
+    Spark's own limits allow 64 MB a batch, which a task holds several times over: as vectors, as bytes and in Python.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def apart(docs: DataFrame, text_col: str) -> DataFrame:
     """(row, text): all other columns as one struct, so that their names can't clash with those of an operator."""
+    small_batches(docs.sparkSession)
     others = [named(c) for c in docs.columns if c != text_col]
     return docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), named(text_col).cast("string").alias("text"))
 
