@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpick.llm.common import apart, crc_bucket, holder, slices, text_bytes, together, words_of
+from labelpick.llm.common import apart, crc_bucket, holder, slices, text_bytes, tidy, together, words_of
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, held_of:
             .groupBy("doc_id", "label").agg(F.min("text").alias("text")))
 
     def learn(batches):
+        holder("toxicity")
         found, seen = [], {}
         for batch in slices(batches, "text", SLICE_BYTES):
             for doc, label, raw in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(),
@@ -191,6 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, held_of:
                       np.array([label for _, label, _ in found], np.int64), **options)
         sink = io.BytesIO()
         np.savez(sink, worth=model.worth, weight=model.weight, bias=model.bias)
+        del found, seen, names, number, model
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], ["model"])
 
     stored = rows.coalesce(1).mapInArrow(learn, "model binary").collect()
