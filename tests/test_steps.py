@@ -61,3 +61,17 @@ def test_wrong_input(spark, make_points):
         steps.lay_out(make_points([[1.0]]), 0)
     with pytest.raises(ValueError, match="no rows"):
         steps.lay_out(spark.createDataFrame([], "row_id long, embedding array<double>"), 4)
+
+
+@pytest.mark.parametrize("n, size, per_step, block, most", [(100, 7, 1, 3, 50), (100, 7, 2, 3, 1), (90, 9, 10, 1, 90), (5, 64, 1, 64, 9)])
+def test_runs_have_the_steps_of_an_epoch_in_order(make_points, monkeypatch, n, size, per_step, block, most):
+    monkeypatch.setattr(steps, "BLOCK_BATCHES", block)
+    ids = np.arange(n) * 5 + 2
+    layout = steps.lay_out(make_points(np.arange(2 * n).reshape(n, 2), ids=ids), size, per_step, seed=3)
+    for epoch in (0, 2):
+        runs = [sorted((r.step, r.place, r.row_id) for r in run.collect()) for run in layout.runs(epoch, most)]
+        assert all(len(run) <= max(most, layout.block_rows) for run in runs)
+        found = {}
+        for step, _, i in (row for run in runs for row in run):
+            found.setdefault(step, []).append(i)
+        assert list(found) == list(range(len(found))) and list(found.values()) == plain(ids, size, per_step, epoch, 3)

@@ -381,3 +381,32 @@ def test_labeled_batches_are_dealt_anew_every_epoch(spark, make_points):
 def test_presets_cover_all_tasks():
     assert {(m, t) for m, t in PRESETS} == {(m, t) for m in ("density", "heads") for t in ("single", "multi", "onehot")}
     assert all(c.method == m and c.task == t for (m, t), c in PRESETS.items())
+
+
+def _jobs(spark, work):
+    """What ``work`` gives, and how many Spark jobs it has run."""
+    context, group = spark.sparkContext, f"count-{id(work)}"
+    context.setJobGroup(group, "counted")
+    try:
+        return work(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_small_steps_share_jobs_and_equal_steps_of_their_own(spark, labeled, monkeypatch):
+    """300 steps of one row each; a job for each would be 300 jobs and more."""
+    many = lambda: heads.fit_heads(labeled, 3, 2, epochs=3, lr=0.05, seed=4, batch_size=1)
+    (fit, ema), jobs = _jobs(spark, many)
+    assert jobs < 60 and len(fit.losses) == 3
+    layers = lambda: nn.fit_supervised(labeled, 3, "single", epochs=2, hidden=(5,), dropout=0.4, seed=2, batch_size=9)
+    deep = layers()
+    for module in (heads, nn):
+        monkeypatch.setattr(module, "most_rows_of_run", lambda layout, values: 0)
+    few = lambda **more: heads.fit_heads(labeled, 3, 2, epochs=2, lr=0.05, seed=4, batch_size=20, **more)
+    slow, slow_ema = few()
+    alone = layers()
+    monkeypatch.undo()
+    fast, fast_ema = few()
+    assert np.allclose(slow.losses, fast.losses) and np.allclose(slow_ema, fast_ema)
+    assert all(np.allclose(a, b) for a, b in zip(slow.params, fast.params))
+    assert np.allclose(alone.losses, deep.losses) and all(np.allclose(a, b) for a, b in zip(alone.params, deep.params))
