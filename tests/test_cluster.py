@@ -177,6 +177,27 @@ def test_rows_leave_waves_early_and_pairs_are_reported(make_points, block_rows):
             assert max(len(r["top"]) for r in state.collect()) <= 4
 
 
+@pytest.mark.parametrize("task_rows", [5, 4_096])
+def test_small_blocks_ask_each_cell_once(make_points, monkeypatch, task_rows):
+    """Groups that are compared depend on the rows of a task, not on the blocks; the densities depend on neither."""
+    monkeypatch.setattr(density, "TASK_ROWS", task_rows)
+    x = np.random.default_rng(5).normal(size=(120, 8))
+    groups = []
+
+    def write(df, name):
+        from labelpick.session import materialize
+        stored = materialize(df, name)
+        if name == "visits":
+            groups.extend(r["chunks"] * r["teams"] for r in stored.collect())
+        return stored
+
+    assigned = cluster.assign_nearest(make_points(x), x.mean(0)[None], keep=("embedding",))
+    rows = density.row_density(assigned, 3, 1e-5, 4, write).collect()
+    want = _brute_density(x, np.zeros(len(x), int), 3, 1e-5)
+    assert len(rows) == 120 and all(np.isclose(r["density"], want[r["row_id"]], rtol=1e-9) for r in rows)
+    assert groups and (max(groups) == 1) == (task_rows == 4_096)
+
+
 def test_lower_bounds_hold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 6))
