@@ -101,8 +101,11 @@ def pair_codes(pieces: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before * PIECES + pieces
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    np.exp(z - z.max(-1, keepdims=True), out=z)
+def _softmax(z: np.ndarray, safe: bool = False) -> np.ndarray:
+    """In place. ``safe``: no exponential can overflow, and not all of a row can vanish."""
+    if not safe:
+        z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
     z /= (z @ np.ones(z.shape[-1], z.dtype))[..., None]
     return z
 
@@ -174,6 +177,16 @@ def _hidden(w, x, room) -> np.ndarray:
     return h
 
 
+def _in_range(w, h: np.ndarray) -> bool:
+    """Whether exponentials of the logits stay in range as they are.
+
+    Pair logs are at most 0 and sum to one, so small products with the weights are enough.
+    """
+    largest = np.sqrt(np.einsum("ij,ij->i", h, h).max()) * np.sqrt(max((w["c"] ** 2).sum(0).max(),
+                                                                       (w["u"] ** 2).sum(1).max()))
+    return bool(largest < 40)
+
+
 def _log_sums(z: np.ndarray, safe: bool) -> np.ndarray:
     """log of the sum of exponentials of each row; overwrites z. ``safe``: none of them can overflow or all vanish."""
     top = 0 if safe else z.max(1)
@@ -196,10 +209,7 @@ def log_probabilities(w: dict, logs, x: np.ndarray, y: np.ndarray) -> np.ndarray
         i = slice(ends[a - 1] if a else 0, ends[min(a + RUN, len(x)) - 1])
         h[i] = _hidden(w, x[a:a + RUN].astype(np.intp), room)[valid[a:a + RUN]]
     of = (y // CLASS).astype(np.uint8)
-    # pair logs are at most 0 and sum to one, so small products with the weights keep exponentials in range
-    largest = np.sqrt(np.einsum("ij,ij->i", h, h).max()) * np.sqrt(max((w["c"] ** 2).sum(0).max(),
-                                                                       (w["u"] ** 2).sum(1).max()))
-    safe = bool(largest < 40)
+    safe = _in_range(w, h)
     for a in range(0, len(y), len(room.z)):
         i = slice(a, a + len(room.z))
         z = _take(logs[0], prev[i], room.z)
@@ -234,7 +244,10 @@ def gradient(w: dict, logs, x: np.ndarray, y: np.ndarray) -> tuple[float, np.nda
     order, rows = np.argsort(of, kind="stable"), np.arange(n)
     h, prev, of, inner = h[order], prev[order], of[order], (y % CLASS)[order]
     edges = np.searchsorted(of, np.arange(CLASSES + 1))
-    p = _softmax(logs[0][prev] + h @ w["c"])
+    safe = _in_range(w, h)
+    p = h @ w["c"]
+    p += logs[0].take(prev, 0)
+    _softmax(p, safe)
     loss = -np.log(np.maximum(p[rows, of], 1e-30)).sum()
     p[rows, of] -= 1
     d["c"][:] = h.T @ p
@@ -243,7 +256,9 @@ def gradient(w: dict, logs, x: np.ndarray, y: np.ndarray) -> tuple[float, np.nda
         i = slice(edges[g], edges[g + 1])
         if edges[g] < edges[g + 1]:
             u = w["u"][g * CLASS:(g + 1) * CLASS]
-            p = _softmax(logs[1][g].take(prev[i], 0) + h[i] @ u.T)
+            p = h[i] @ u.T
+            p += logs[1][g].take(prev[i], 0)
+            _softmax(p, safe)
             at = (rows[:len(p)], inner[i])
             loss -= np.log(np.maximum(p[at], 1e-30)).sum()
             p[at] -= 1

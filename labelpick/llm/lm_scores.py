@@ -5,11 +5,11 @@ distinct words of a block of documents travel to word shards, are summed there,
 
 The model is a causal self-attention network over subword ids (``attention``). Ids are byte-pair merges of a public
 vocabulary, cut off at its first merges, so every word has ids and the model gives every text a probability. Pair counts
-of ids, on which the network builds, come from all training documents. The network itself is trained in numpy, in rounds,
-each on other windows: a window belongs to a round, if to any, by a hash of its document id and its place, so the share of
-all windows that a round reads is fixed and does not shrink when the input grows. The windows of a round are dealt into
-groups by the same hash; every group is descended from the same weights, and the weights are averaged. Neither counts nor
-training depend on how the table is laid out, beyond rounding.
+of ids, on which the network builds, come from all training documents. The network itself is trained in numpy on all
+windows of all training documents, in rounds that each read other ones. Texts are cut into segments of SEGMENT windows,
+sent with the pieces that their first window looks back at; a hash of document id and place gives a segment its round. The
+segments of a round are dealt into groups by the same hash; every group is descended from the same weights, and the
+weights are averaged. Neither counts nor training depend on how the table is laid out, beyond rounding.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ from labelpick.operators.partials import CHUNK, add_chunks
 BLOCK_BYTES = 6 << 20
 CHUNK_PIECES = 1 << 19
 WINDOWS_AT_ONCE = 8192
-ROUNDS, SHARE, RATE = 4, 1 / 48, 0.03  # share of all training windows that each round reads
+ROUNDS, RATE = 4, 0.03
 GROUP_WINDOWS = 16_384  # windows that are descended one after the other
+SEGMENT = 64  # windows that travel together
 SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double, n_pieces long")
 
@@ -88,7 +89,7 @@ def _sequences(words: np.ndarray, sizes: np.ndarray, flat: np.ndarray, starts: n
 
 
 def window_keys(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of document id and window number."""
+    """A 64-bit hash of document id and place in the text."""
     z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + numbers.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
@@ -96,10 +97,32 @@ def window_keys(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def window_rounds(keys: np.ndarray, share: float) -> np.ndarray:
-    """The round that reads a window: the first bits of its key as a fraction, in units of the share."""
+    """The round that reads a segment: the first bits of its key as a fraction, in units of the share."""
     return np.floor((keys >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 / share).astype(np.int64)
 
 
+def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number, start, size) of the segments of texts: where each begins in its text, and its pieces.
+
+    Those behind the first begin two windows early, with pieces that are only looked at.
+    """
+    width = SEGMENT * A.CONTEXT
+    n = -(-lengths // width)
+    text = np.repeat(np.arange(len(lengths)), n)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.maximum(number * width - 2 * A.CONTEXT, 0)
+    return text, number, start, np.minimum((number + 1) * width, lengths[text]) - start
+
+
+def segment_windows(pieces: np.ndarray, sizes: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of all windows of segments laid end to end; ``later``: not the first one of its text."""
+    first = 2 * later.astype(np.int64)
+    n = -(-sizes // A.CONTEXT) - first
+    of = np.repeat(np.arange(len(sizes)), n)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+    return A.some_windows(pieces, (np.cumsum(sizes) - sizes)[of], sizes[of], number)
+
+
 def _groups(sizes: np.ndarray):
     """Runs of texts with about CHUNK_PIECES words together, or one longer text."""
     start, held = 0, 0
@@ -114,11 +137,12 @@ def _groups(sizes: np.ndarray):
 
 BLOCKS = ("block long, pack binary, numbers binary, shard_of binary, flat binary, piece_sizes binary, "
           "messages array<struct<shard int, words binary, counts binary>>, train_docs long, "
-          "pairs binary, pair_counts binary, sample binary, sample_keys binary, sampled array<long>")
+          "pairs binary, pair_counts binary, pieces binary, segment_keys binary, segment_sizes binary, later binary, "
+          "windows array<long>")
 
 
 def _blocks(rows: DataFrame, file, shards: int, share: float, rounds: int) -> DataFrame:
-    """Store blocks with their word messages, counts of piece pairs, and the training windows of all rounds."""
+    """Store blocks with their word messages, counts of piece pairs, and the training segments of all rounds."""
 
     def run(batches):
         coder = _shared_pieces(file)
@@ -139,23 +163,24 @@ def _blocks(rows: DataFrame, file, shards: int, share: float, rounds: int) -> Da
             flat, starts = coder.of(words)
             names = np.array([0 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             edges = np.concatenate([[0], np.cumsum(sizes)])
-            codes, samples, keys = [], [np.zeros((0, 3 * A.CONTEXT), np.int16)], [np.zeros(0, np.uint64)]
+            codes, parts, keys, cut, later = [], [np.zeros(0, np.int16)], [np.zeros(0, np.uint64)], [], []
             for a, b in _groups(sizes):
                 pieces, lengths = _sequences(numbers[edges[a]:edges[b]], sizes[a:b], flat, starts)
                 learn = ~held[a:b]
                 codes.append(A.pair_codes(pieces, lengths)[np.repeat(learn, lengths)])
-                n = np.where(learn, -(-lengths // A.CONTEXT), 0)
-                text = np.repeat(np.arange(b - a), n)
-                window = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-                key = window_keys(names[a:b][text], window)
+                text, number, start, size = _segments(np.where(learn, lengths, 0))
+                key = window_keys(names[a:b][text], number)
                 some = np.flatnonzero(window_rounds(key, share) < rounds)
-                text, window = text[some], window[some]
-                x, y = A.some_windows(pieces, (np.cumsum(lengths) - lengths)[text], lengths[text], window)
-                samples.append(np.concatenate([x, y], 1).astype(np.int16))
+                start, size = ((np.cumsum(lengths) - lengths)[text] + start)[some], size[some]
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                parts.append(pieces[np.repeat(start, size) + within].astype(np.int16))
                 keys.append(key[some])
+                cut.append(size)
+                later.append(number[some] > 0)
             pairs = np.bincount(np.concatenate(codes), minlength=A.PIECES * A.PIECES)
-            found, sample_keys = np.flatnonzero(pairs), np.concatenate(keys)
-            sampled = np.bincount(window_rounds(sample_keys, share), minlength=rounds)
+            found, keys, cut, later = np.flatnonzero(pairs), *map(np.concatenate, (keys, cut, later))
+            windows = np.zeros(rounds, np.int64)
+            np.add.at(windows, window_rounds(keys, share), -(-cut // A.CONTEXT) - 2 * later)
             table = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes)], ["doc_id", "held_out", "n_words"])
             kinds = pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
@@ -164,10 +189,10 @@ def _blocks(rows: DataFrame, file, shards: int, share: float, rounds: int) -> Da
                 [pa.array([block], pa.int64()), blob(pack(table)), blob(squeeze(numbers)), blob(squeeze(shard)),
                  blob(flat.tobytes()), blob(squeeze(np.diff(starts))), pa.array([messages], kinds),
                  pa.array([int((~held).sum())], pa.int64()), blob(squeeze(found)), blob(squeeze(pairs[found])),
-                 blob(np.concatenate(samples).tobytes()), blob(sample_keys.tobytes()),
-                 pa.array([sampled.tolist()], pa.list_(pa.int64()))],
+                 blob(np.concatenate(parts).tobytes()), blob(keys.tobytes()), blob(cut.astype(np.int16).tobytes()),
+                 blob(later.tobytes()), pa.array([windows.tolist()], pa.list_(pa.int64()))],
                 ["block", "pack", "numbers", "shard_of", "flat", "piece_sizes", "messages", "train_docs", "pairs",
-                 "pair_counts", "sample", "sample_keys", "sampled"])
+                 "pair_counts", "pieces", "segment_keys", "segment_sizes", "later", "windows"])
 
     return store_by_block(rows.mapInArrow(run, BLOCKS), "lm_blocks")
 
@@ -224,8 +249,8 @@ def _pair_table(blocks: DataFrame) -> np.ndarray:
 
 def _train(blocks: DataFrame, logs, rounds: int, share: float, rate: float, seed: int) -> np.ndarray:
     """Weights after rounds of descent in groups and averaging, weighted by windows."""
-    width, samples = 3 * A.CONTEXT, blocks.select("sample", "sample_keys")
-    sums = blocks.agg(*[F.sum(F.get("sampled", F.lit(r))).alias(str(r)) for r in range(rounds)]).first()
+    segments = blocks.select("pieces", "segment_keys", "segment_sizes", "later")
+    sums = blocks.agg(*[F.sum(F.get("windows", F.lit(r))).alias(str(r)) for r in range(rounds)]).first()
     weights = A.fresh(seed)
     for number in range(rounds):
         n = sums[str(number)] or 0
@@ -236,31 +261,28 @@ def _train(blocks: DataFrame, logs, rounds: int, share: float, rate: float, seed
 
         def deal(batches):
             for batch in batches:
-                for sample, keys in zip(batch.column("sample").to_pylist(), batch.column("sample_keys").to_pylist()):
-                    keys = np.frombuffer(keys, np.uint64)
+                for pieces, keys, sizes, later in zip(*(c.to_pylist() for c in batch.columns)):
+                    keys, later = np.frombuffer(keys, np.uint64), np.frombuffer(later, bool)
+                    edges = 2 * np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int16), dtype=np.int64)])
                     mine = np.flatnonzero(window_rounds(keys, share) == number)
                     group = (keys[mine] % np.uint64(groups)).astype(np.int64)
-                    mine = mine[np.argsort(group, kind="stable")]
-                    data, group = np.frombuffer(sample, np.int16).reshape(-1, width), np.sort(group)
-                    names, first = np.unique(group, return_index=True)
-                    parts = np.split(mine, first[1:])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.int64()), pa.array([keys[p].tobytes() for p in parts[:len(names)]], pa.binary()),
-                         pa.array([data[p].tobytes() for p in parts[:len(names)]], pa.binary())], ["group", "keys", "data"])
+                        [pa.array(group), pa.array(keys[mine].view(np.int64)), pa.array(later[mine]),
+                         pa.array([pieces[edges[i]:edges[i + 1]] for i in mine.tolist()], pa.binary())],
+                        ["group", "key", "later", "pieces"])
 
         def descend(table):
-            keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-            data = np.frombuffer(b"".join(table["data"].to_pylist()), np.int16).reshape(-1, width)
-            # one order, however the windows arrive; windows of one key are told apart by their pieces
-            order = np.lexsort((*data.T[::-1], keys))
-            data = data[order].astype(np.int32)
-            new = A.descend(shipped.value, logs.value, data[:, :2 * A.CONTEXT], data[:, 2 * A.CONTEXT:], step,
-                            seed=seed + number).astype(np.float64) * len(data)
+            # one order, however the segments arrive; those of one key are told apart by their pieces
+            rows = sorted(zip(table["key"].to_pylist(), table["later"].to_pylist(), table["pieces"].to_pylist()))
+            sizes = np.array([len(r[2]) // 2 for r in rows])
+            x, y = segment_windows(np.frombuffer(b"".join(r[2] for r in rows), np.int16).astype(np.int32), sizes,
+                                   np.array([r[1] for r in rows]))
+            new = A.descend(shipped.value, logs.value, x, y, step, seed=seed + number).astype(np.float64) * len(x)
             new = np.pad(new, (0, -len(new) % CHUNK)).reshape(-1, CHUNK)
             return pa.table({"chunk": pa.array(np.arange(len(new)), pa.int32()),
                              "v": pa.array(new.tolist(), pa.list_(pa.float64()))})
 
-        parts = (samples.mapInArrow(deal, "group long, keys binary, data binary").groupBy("group")
+        parts = (segments.mapInArrow(deal, "group long, key long, later boolean, pieces binary").groupBy("group")
                  .applyInArrow(descend, "chunk int, v array<double>"))
         summed = add_chunks(parts, ["chunk"], "sum").toArrow()
         weights = np.zeros(-(-len(weights) // CHUNK) * CHUNK, np.float64)
@@ -280,7 +302,7 @@ def _score_pieces(weights, logs, sequence: np.ndarray, lengths: np.ndarray) -> n
 
 
 def score_documents(docs: DataFrame, piece_file: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10,
-                    held_fold: int = 0, share: float = SHARE, rounds: int = ROUNDS, rate: float = RATE,
+                    held_fold: int = 0, share: float | None = None, rounds: int = ROUNDS, rate: float = RATE,
                     seed: int = 0) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_pieces.
 
@@ -288,9 +310,11 @@ def score_documents(docs: DataFrame, piece_file: str, id_col: str = "doc_id", te
     crc32(id) mod ``folds`` is not ``held_fold``. ``score`` is the model's log10 probability of the text, as the ids of
     its lower-cased words and an end. Null and empty texts have the end as only token. A null id counts as the empty text
     when it is hashed. Every row is a document of its own. Other columns are ignored. Without training documents N and V
-    are 0 and the model is untrained. In each of ``rounds`` rounds another ``share`` of all training windows trains the
-    network; ``rounds * share`` is 1 at most.
+    are 0 and the model is untrained. In each of ``rounds`` rounds other training windows train the network, and all of
+    them do in one of the rounds. Only a caller who asks for a smaller ``share`` than 1 / rounds leaves windows out;
+    ``rounds * share`` is 1 at most.
     """
+    share = 1 / rounds if share is None else share
     if not 0 <= share * rounds <= 1 or share <= 0:
         raise ValueError("rounds * share must be 1 at most")
     spark = docs.sparkSession

@@ -161,3 +161,32 @@ def test_layout_does_not_matter(spark):
 def test_shares_beyond_all_windows_are_refused(spark):
     with pytest.raises(ValueError):
         lm_scores.score_documents(empty(spark), vocabulary("byte_bpe_multi_50k.tiktoken"), share=0.3, rounds=4)
+
+
+def test_segments_have_all_windows_of_their_texts():
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 1024, 1025, 5, 3000, 1040, 2048, 16])
+    pieces = rng.integers(0, A.END, sizes.sum()).astype(np.int32)
+    text, number, start, size = lm_scores._segments(sizes)
+    first = (np.cumsum(sizes) - sizes)[text] + start
+    cut = np.concatenate([pieces[a:a + n] for a, n in zip(first, size)])
+    x, y = lm_scores.segment_windows(cut, size, number > 0)
+    x2, y2 = A.windows(pieces, sizes)
+    assert (x == x2).all() and (y == y2).all()
+    assert len(lm_scores._segments(np.zeros(3, np.int64))[0]) == 0
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_every_training_window_is_read(spark, monkeypatch, rounds):
+    """The windows that train the network are all of those of the training documents, each in one round."""
+    kept = []
+    train = lm_scores._train
+    monkeypatch.setattr(lm_scores, "_train", lambda blocks, *a: kept.append(blocks) or train(blocks, *a))
+    path, rows = vocabulary("byte_bpe_multi_50k.tiktoken"), corpus()
+    lm_scores.score_documents(with_clashes(spark, rows), path, rounds=rounds)
+    coder, want = lm_scores.Pieces(open(path, encoding="utf-8").read()), 0
+    for i, text in rows:
+        if not held(i):
+            want -= -(len(coder.of((text or "").encode().lower().split())[0]) + 1) // A.CONTEXT
+    per_round = np.sum([r["windows"] for r in kept[0].select("windows").collect()], 0)
+    assert len(per_round) == rounds and per_round.sum() == want and (per_round > 0).all()
