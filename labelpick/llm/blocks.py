@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpick.llm.common import holder, materialize, slices, tidy
+from labelpick.llm.common import holder, materialize, released, slices
 from labelpick.session import scratch_path
 
 BLOCK_BYTES = 8 << 20
@@ -59,9 +59,8 @@ def write_blocks(docs: DataFrame, encode: Callable, extra: str, name: str, text_
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([pack(packed)], pa.binary()), *values],
                 ["block", "pack", *names])
-        tidy()
 
-    return materialize(docs.mapInArrow(run, schema), name)
+    return materialize(docs.mapInArrow(released(run), schema), name)
 
 
 def squeeze(values: np.ndarray) -> bytes:

@@ -25,7 +25,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, Str
 
 from labelpick.llm.blocks import (expand, gather, numbered, pack, received_words, send_words, squeeze, store_by_block,
                                   unpack, word_shards)
-from labelpick.llm.common import apart, file_text, holder, named, slices, texts
+from labelpick.llm.common import apart, file_text, holder, named, released, released_group, slices, texts
 
 BLOCK_BYTES = 4 << 20
 CHUNK_UNITS = 100_000
@@ -83,7 +83,7 @@ def _word_blocks(docs: DataFrame, text_col: str, special: list[str], shards: int
                  pa.array([squeeze(rank[numbers])], pa.binary()), pa.array([squeeze(shard)], pa.binary()),
                  pa.array([messages], kinds)], ["block", "pack", "units", "shard_of", "messages"])
 
-    blocks = docs.mapInArrow(run, "block long, pack binary, units binary, shard_of binary, "
+    blocks = docs.mapInArrow(released(run), "block long, pack binary, units binary, shard_of binary, "
                                   "messages array<struct<shard int, words binary>>")
     return store_by_block(blocks, "word_blocks")
 
@@ -116,7 +116,8 @@ def _answers(messages: DataFrame, file) -> DataFrame:
         return pa.table({"block": table["block"], "shard": table["shard"], "sizes": pa.array(out_sizes, pa.binary()),
                          "ids": pa.array(out_ids, pa.binary())})
 
-    return messages.groupBy("shard").applyInArrow(answer, "block long, shard int, sizes binary, ids binary")
+    return messages.groupBy("shard").applyInArrow(lambda key, table: released_group(answer, key, table),
+                                                  "block long, shard int, sizes binary, ids binary")
 
 
 def _block_ids(block: pa.Table, answers: pa.Table) -> list[bytes]:
@@ -156,12 +157,14 @@ def _encoded(docs: DataFrame, file, special: list[str], text_col: str, finish, s
     messages = blocks.select("block", F.explode("messages").alias("m")).select("block", "m.shard", "m.words")
 
     def put_together(key, block, answers):
+        holder("bpe_ids")  # the tokenizer has done its work
         if not block.num_rows:
             raise ValueError("an answer to no block")
         return finish(unpack(block["pack"][0].as_py()), _block_ids(block, answers))
 
     return (blocks.select("block", "pack", "units", "shard_of").groupBy("block")
-            .cogroup(_answers(messages, file).groupBy("block")).applyInArrow(put_together, schema))
+            .cogroup(_answers(messages, file).groupBy("block"))
+            .applyInArrow(lambda key, block, answers: released_group(put_together, key, block, answers), schema))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -216,7 +219,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_c
             out = pa.array([decoded(ids or b"", table.value) for ids in batch.column("ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("row"), out.cast(pa.string())], ["row", "text"])
 
-    done = inner.mapInArrow(run, StructType([inner.schema["row"], StructField("text", StringType())]))
+    done = inner.mapInArrow(released(run), StructType([inner.schema["row"], StructField("text", StringType())]))
     text = F.col("text").alias(text_col)
     return done.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in columns],
                        *([] if text_col in columns else [text]))

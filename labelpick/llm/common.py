@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelpick.session import materialize
 
-__all__ = ["apart", "crc_bucket", "documents", "file_text", "holder", "materialize", "named", "slices", "small_batches",
+__all__ = ["apart", "crc_bucket", "documents", "file_text", "holder", "materialize", "named", "released", "released_group", "slices", "small_batches",
            "text_bytes", "texts", "tidy", "together", "words_of"]
 
 # Largest vocabulary file that is shipped to the executors.
@@ -91,15 +91,39 @@ def holder(name: str) -> dict:
     return held.setdefault(name, {})
 
 
-def tidy() -> None:
-    """Give memory that is no longer used back to the system; workers live on between tasks."""
-    gc.collect()
+def tidy(cycles: bool = True) -> None:
+    """Give memory that is no longer used back to the system; workers live on between tasks.
+
+    ``cycles``: also look for objects that hold each other, which takes longer than the rest.
+    """
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim is not None:
         trim(0)
 
 
+def released(run):
+    """``run`` for mapInArrow; at the end of a task, when it holds nothing more, its memory goes back to the system.
+
+    Spark keeps workers for later tasks, some of which may never come, so what a worker holds adds to what others take.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        tidy()
+
+    return task
+
+
+def released_group(run, *groups):
+    """``run(*groups)`` for applyInArrow; what it took goes back to the system after each group."""
+    done = run(*groups)
+    tidy(cycles=False)
+    return done
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of an Arrow column; null gives the empty text."""
     return [x or "" for x in column.to_pylist()]

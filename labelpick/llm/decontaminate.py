@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpick.llm.common import apart, holder, materialize, slices, text_bytes, together, words_of
+from labelpick.llm.common import apart, holder, materialize, released, slices, text_bytes, together, words_of
 
 WINDOW = 10
 SHARD_WORDS = 100_000
@@ -223,8 +223,8 @@ def _find(docs: DataFrame, items: DataFrame, window: int, item_id: str, item_tex
                     yield pa.RecordBatch.from_arrays([out[c] for c in columns], columns)
 
         if last:
-            return frame.mapInArrow(scan, schema)
-        frame = materialize(frame.mapInArrow(scan, frame.schema), "scanned")
+            return frame.mapInArrow(released(scan), schema)
+        frame = materialize(frame.mapInArrow(released(scan), frame.schema), "scanned")
         shipped.destroy()
     raise AssertionError("there is always a last shard")
 

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelpick.llm.blocks import numbered
-from labelpick.llm.common import apart, holder, materialize, slices, text_bytes, tidy, together, words_of
+from labelpick.llm.common import (apart, holder, materialize, released, slices, text_bytes, together,
+                                  words_of)
 from labelpick.llm.components import components
 
 BANDS, ROWS = 48, 5
@@ -184,12 +185,11 @@ def _signatures(rows: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(uid, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "uid", "digest", "keys"])
-        tidy()
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     whole = StructType([*rows.schema.fields, *_parse_datatype_string(schema).fields])
-    return materialize(rows.mapInArrow(run, whole), "signatures")
+    return materialize(rows.mapInArrow(released(run), whole), "signatures")
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -241,10 +241,8 @@ def _links(units: DataFrame, n: int, threshold: float, tolerance: float) -> Data
                 held.append(row)
         if held:
             yield flush()
-            held = []
-        tidy()
 
-    return units.mapInArrow(run, "node long, links long, reached long")
+    return units.mapInArrow(released(run), "node long, links long, reached long")
 
 
 def _classes(rows: DataFrame, n: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelpick.llm.blocks import unpack, write_blocks
-from labelpick.llm.common import apart, holder, materialize, text_bytes, together
+from labelpick.llm.common import apart, holder, materialize, released, text_bytes, together
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -264,7 +264,7 @@ class LineIndex:
                 yield batch.filter(pa.array(keep))
 
         part = keys.where(F.col("shard").isin(group))
-        return part.mapInArrow(probe, part.schema).select("block", "number", "key")
+        return part.mapInArrow(released(probe), part.schema).select("block", "number", "key")
 
 
 def _apply(blocks: DataFrame, index: LineIndex, text_col: str, finish, schema: str, spare_copies: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelpick.llm.common import apart, crc_bucket, holder, slices, text_bytes, tidy, together, words_of
+from labelpick.llm.common import apart, crc_bucket, holder, released, slices, text_bytes, tidy, together, words_of
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -32,11 +32,15 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD
                 np.uint64)
 
 
-def subwords(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[bytes], at_once: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all subwords of all words, and where each word's begin (one more than words)."""
-    parts = [_subwords(words[i:i + at_once]) for i in range(0, len(words), at_once)]
-    sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(starts) for _, starts in parts)])
-    return np.concatenate([np.zeros(0, np.int32), *(codes for codes, _ in parts)]), np.cumsum(sizes)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(1 + sum(np.maximum(size - n + 1, 0) for n in NGRAMS))])
+    codes = np.empty(starts[-1], np.int32)  # filled part by part, so that no second copy is held
+    for i in range(0, len(words), at_once):
+        some = words[i:i + at_once]
+        codes[starts[i]:starts[i + len(some)]] = _subwords(some)[0]
+    return codes, starts
 
 
 def _subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,18 +96,27 @@ class Model:
                         np.add.reduceat(self.weight[codes], starts[:-1]).tolist()))
 
 
-def train(coded: list[np.ndarray], vocabulary: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.5,
-          rare: float = 0.1, seed: int = 0) -> Model:
-    """Fit embeddings and softmax together. ``coded`` holds the numbers of the distinct words of each document."""
-    n_rows = len(coded)
+def _runs(n: int, size: int):
+    return ((i, min(i + size, n)) for i in range(0, n, size))
+
+
+def train(doc_words: np.ndarray, doc_starts: np.ndarray, codes: np.ndarray, word_starts: np.ndarray, labels: np.ndarray,
+          epochs: int = 5, batch: int = 32, rate: float = 0.5, rare: float = 0.1, seed: int = 0) -> Model:
+    """Fit embeddings and softmax together.
+
+    ``doc_words`` holds the numbers of the distinct words of each document, ``codes`` the subwords of each word, both laid
+    end to end. What is made of them for all words or documents is made some at a time.
+    """
+    n_rows, n_words = len(doc_starts) - 1, len(word_starts) - 1
     if n_rows == 0:
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0)
-    doc_starts = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
-    doc_words = np.concatenate(coded)
-    codes, word_starts = subwords(vocabulary)
     # share of documents of each bucket, from word document counts (an upper bound where words of a document share it)
-    seen = np.bincount(doc_words, minlength=len(vocabulary))
-    share = np.bincount(codes, np.repeat(seen, np.diff(word_starts)), BUCKETS) / n_rows
+    seen = np.bincount(doc_words, minlength=n_words)
+    share, word_weight, total = np.zeros(BUCKETS), np.empty(n_words), np.empty(n_rows)
+    for i, j in _runs(n_words, 20_000):
+        some = codes[word_starts[i]:word_starts[j]]
+        share += np.bincount(some, np.repeat(seen[i:j], np.diff(word_starts[i:j + 1])), BUCKETS)
+    share /= n_rows
     weight = rare / (rare + share)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM))
@@ -111,9 +124,12 @@ def train(coded: list[np.ndarray], vocabulary: list[bytes], labels: np.ndarray,
     prior = np.clip(np.bincount(labels, minlength=2) / len(labels), 1e-3, None)
     bias = np.log(prior)
     past, past_soft, past_bias = np.full(BUCKETS, 1e-8), np.full(soft.shape, 1e-8), np.full(2, 1e-8)
-    word_weight = np.add.reduceat(weight[codes], word_starts[:-1]) if len(vocabulary) else np.zeros(0)
-    total = np.maximum(np.bincount(np.repeat(np.arange(n_rows), np.diff(doc_starts)), word_weight[doc_words],
-                                   n_rows), 1e-12)
+    for i, j in _runs(n_words, 20_000):
+        word_weight[i:j] = np.add.reduceat(weight[codes[word_starts[i]:word_starts[j]]], word_starts[i:j] - word_starts[i])
+    for i, j in _runs(n_rows, 500):
+        owner = np.repeat(np.arange(j - i), np.diff(doc_starts[i:j + 1]))
+        total[i:j] = np.bincount(owner, word_weight[doc_words[doc_starts[i]:doc_starts[j]]], j - i)
+    total = np.maximum(total, 1e-12)
     for epoch in range(epochs):
         order = rng.permutation(n_rows)
         for first in range(0, len(order), batch):
@@ -177,28 +193,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, held_of:
 
     def learn(batches):
         holder("toxicity")
-        found, seen = [], {}
+        seen, of, labels, sizes, found = {}, [], [], [], []
         for batch in slices(batches, "text", SLICE_BYTES):
-            for doc, label, raw in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(),
-                                       text_bytes(batch.column("text"))):
+            for raw in text_bytes(batch.column("text")):
                 words = set(words_of(raw))
-                found.append((doc, label, np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))))
+                found.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+            of += batch.column("doc_id").to_pylist()
+            labels += batch.column("label").to_pylist()
         # words and documents in an order that doesn't depend on how rows arrive
         names = sorted(seen)
         number = np.empty(len(names), np.int32)
-        number[[seen[w] for w in names]] = np.arange(len(names))
-        found.sort(key=lambda row: row[0])
-        model = train([np.sort(number[words]) for _, _, words in found], names,
-                      np.array([label for _, label, _ in found], np.int64), **options)
+        number[np.fromiter(map(seen.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
+        del seen
+        codes, word_starts = subwords(names)
+        del names
+        order = np.argsort(np.array(of, np.int64), kind="stable").tolist()
+        sizes = np.array([len(found[i]) for i in order], np.int64)
+        doc_starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        doc_words = np.empty(doc_starts[-1], np.int32)
+        for at, i in zip(doc_starts.tolist(), order):
+            doc_words[at:at + len(found[i])] = np.sort(number[found[i]])
+            found[i] = None
+        del found, number
+        tidy()  # what the texts took
+        model = train(doc_words, doc_starts, codes, word_starts, np.array(labels, np.int64)[order], **options)
         sink = io.BytesIO()
         np.savez(sink, worth=model.worth, weight=model.weight, bias=model.bias)
-        del found, seen, names, number, model
-        tidy()
         yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], ["model"])
 
-    stored = rows.coalesce(1).mapInArrow(learn, "model binary").collect()
+    stored = rows.coalesce(1).mapInArrow(released(learn), "model binary").collect()
     if not stored:
-        return train([], [], np.zeros(0, np.int64))
+        return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0)
     with np.load(io.BytesIO(bytes(stored[0].model))) as data:
         return Model(data["worth"], data["weight"], float(data["bias"]))
 
@@ -220,7 +245,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str, score_col: str) ->
             p = score_words(model, state["known"], [set(words_of(raw)) for raw in text_bytes(batch.column(text_col))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*columns, score_col])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(released(score), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id",

@@ -1,11 +1,13 @@
 import random
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
 import pytest
 from llm.helpers import corpus, empty, with_clashes, words
 
-from labelpick.llm import toxicity
+from labelpick.llm import common, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +66,52 @@ def test_tables_without_labels_or_rows(spark, labelled):
     ids = {r.doc_id for r in kept.collect()}
     assert len([i for i, _ in rows if i % 4 and i in ids]) > 0.97 * 1125
     assert toxicity.fit(docs, labels, sample_rows=0).bias == 0
+
+
+def test_coding_a_vocabulary_takes_little_more_than_its_codes():
+    rng = random.Random(3)
+    many = [words(rng, 1).encode() + f"{i:09d}".encode() for i in range(150_000)]
+    tracemalloc.start()
+    codes, starts = toxicity.subwords(many)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(starts) == len(many) + 1 and starts[-1] == len(codes)
+    assert peak < 1.5 * (codes.nbytes + starts.nbytes)
+
+
+def test_training_makes_few_arrays_of_all_subwords():
+    rng = np.random.default_rng(4)
+    sizes, per_doc = rng.integers(20, 40, 150_000), rng.integers(50, 150, 2_000)
+    word_starts, doc_starts = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, per_doc))
+    codes = rng.integers(0, toxicity.BUCKETS, word_starts[-1]).astype(np.int32)
+    doc_words = rng.integers(0, len(sizes), doc_starts[-1]).astype(np.int32)
+    tracemalloc.start()
+    model = toxicity.train(doc_words, doc_starts, codes, word_starts, rng.integers(0, 2, len(per_doc)), epochs=0)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    seen = np.bincount(doc_words, minlength=len(sizes))
+    share = np.bincount(codes, np.repeat(seen, sizes), toxicity.BUCKETS) / len(per_doc)
+    assert np.array_equal(model.weight, (0.1 / (0.1 + share)).astype(np.float32))
+    assert peak < 4 * codes.nbytes  # a sum of doubles over all of them would take two, their numbers as many
+
+
+def test_memory_goes_back_when_a_task_or_group_holds_nothing_more(monkeypatch):
+    held, alive = [], []
+
+    def make():
+        array = np.zeros(10)
+        held.append(weakref.ref(array))
+        return array
+
+    def run(batches):
+        for _ in batches:
+            kept = make()
+            yield kept.sum()
+
+    def group(key, table):
+        return make().sum()
+
+    monkeypatch.setattr(common, "tidy", lambda cycles=True: alive.append([r() is not None for r in held]))
+    assert list(common.released(run)(iter([1, 2]))) == [0, 0]
+    assert common.released_group(group, 1, None) == 0
+    assert alive == [[False] * 2, [False] * 3]
