@@ -190,3 +190,24 @@ def test_every_training_window_is_read(spark, monkeypatch, rounds):
             want -= -(len(coder.of((text or "").encode().lower().split())[0]) + 1) // A.CONTEXT
     per_round = np.sum([r["windows"] for r in kept[0].select("windows").collect()], 0)
     assert len(per_round) == rounds and per_round.sum() == want and (per_round > 0).all()
+
+
+@pytest.mark.parametrize("sharper", [1, 60])  # 60: exponentials of the scores could overflow
+def test_gradients_in_a_used_room_equal_fresh_ones(sharper):
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 16, 700, 5, 1900, 100, 33])
+    x, y = A.windows(rng.integers(0, A.END, sizes.sum()).astype(np.int32), sizes)
+    assert len(x) > 2 * A.RUN and (y != A.PAD).sum() > 2 * A.ROWS
+    logs = A.pair_logs(rng.random((A.PIECES, A.PIECES)) * 3)
+    some = lambda: A.views((A.fresh() + rng.normal(0, 0.1, len(A.fresh()))).astype(np.float32))
+    w, room = some(), A._Room(learns=len(x))
+    w["q"] *= sharper
+    assert (A.tables(w)["reach"] < 60) == (sharper == 1)
+    A.gradient(some(), logs, x, y, room)  # leaves its numbers there
+    loss, got = A.gradient(w, logs, x, y, room)
+    assert (got == A.gradient(w, logs, x, y)[1]).all()
+    n = lambda part: (y[part] != A.PAD).sum()
+    assert np.isclose(loss, -A.log_probabilities(w, logs, x, y).sum() / n(slice(None)), rtol=1e-4)
+    halves = slice(0, 70), slice(70, None)
+    mean = sum(A.gradient(w, logs, x[p], y[p], room)[1] * n(p) for p in halves) / n(slice(None))
+    assert np.allclose(got, mean, rtol=1e-3, atol=1e-6)
